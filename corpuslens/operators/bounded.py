@@ -3,32 +3,35 @@
 from __future__ import annotations
 
 import tempfile
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A table up to this many rows (short ones: ids, terms, numbers) counts as small.
-SMALL_ROWS = 20_000
-# Up to this many values a column filter is spelled out, so that it reaches the Parquet reader.
+SMALL_ROWS = 200_000
+# Up to this many values a filter is spelled out in lists that Parquet can test exactly.
 SPELLED_VALUES = 1_000
 # Parquet gets an exact test for so many values in one IN list; a longer list becomes min/max.
 IN_LIST = 10
 
 
 def settle(df: DataFrame, limit: int = SMALL_ROWS) -> tuple[DataFrame, list[dict] | None]:
-    """Compute a table once if it is small: (local table with a broadcast hint, its rows).
+    """Compute a table once if it is small: (the local table, its rows).
 
     One job reads at most ``limit + 1`` rows. A larger table is written to the checkpoint folder,
-    so that it too is computed once, and comes back without a hint and with rows ``None``.
+    so that it too is computed once, and comes back with rows ``None``.
     """
     table = df.limit(limit + 1).toArrow()
     if table.num_rows <= limit:
-        local = df.sparkSession.createDataFrame(table, df.schema)
-        return F.broadcast(local), table.to_pylist()
+        return df.sparkSession.createDataFrame(table, df.schema), table.to_pylist()
     return checkpointed(df), None
 
 
+def hinted(df: DataFrame, rows: list[dict] | None) -> DataFrame:
+    """A broadcast hint for a table that ``settle`` found small."""
+    return df if rows is None else F.broadcast(df)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint()
@@ -37,17 +40,40 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: the cluster's, or a new local one where none is named."""
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
-        "spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpuslens-"))
     return named or context.getCheckpointDir()
 
 
-def any_of(column: Column, values: list) -> Column:
-    """``column IN values`` as an OR of short lists, each of which Parquet can test exactly."""
+def _either(tests: list[Column]) -> Column:
+    """OR of the tests as a balanced tree, whose depth stays small for many tests."""
+    if len(tests) == 1:
+        return tests[0]
+    middle = len(tests) // 2
+    return _either(tests[:middle]) | _either(tests[middle:])
+
+
+def any_of(column: str, values: list) -> Column:
+    """``column IN values``; up to a thousand values as short lists, which Parquet tests exactly.
+
+    Numbers may be more: as one list they still choose the buckets to be read.
+    """
     ordered = sorted(set(values))
     if not ordered:
         return F.lit(False)
-    lists = [column.isin(ordered[i:i + IN_LIST]) for i in range(0, len(ordered), IN_LIST)]
-    return reduce(lambda a, b: a | b, lists)
+    size = IN_LIST if len(ordered) <= SPELLED_VALUES else len(ordered)
+    parts = [ordered[i:i + size] for i in range(0, len(ordered), size)]
+    if isinstance(ordered[0], int):
+        return _either([F.expr(f"{column} IN ({', '.join(map(str, part))})") for part in parts])
+    return _either([F.col(column).isin(part) for part in parts])
+
+
+def among(table: DataFrame, column: str, rows: list[dict] | None) -> DataFrame:
+    """Filter a table by a column's values in ``rows``, where these can be spelled out."""
+    if rows is None:
+        return table
+    values = {row[column] for row in rows}
+    if len(values) > SPELLED_VALUES and not all(isinstance(v, int) for v in values):
+        return table
+    return table.filter(any_of(column, list(values)))

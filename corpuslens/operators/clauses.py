@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,10 @@ JOINERS = ("AND", "OR")
 
 def query_table(spark: SparkSession, queries: Iterable[tuple]) -> DataFrame:
     """Rows ``(query_id, text, case_sensitive, fuzzy, phrase, k)`` as a table."""
-    return spark.createDataFrame(list(queries), QUERIES)
+    columns = zip(*queries, strict=True)
+    table = pa.table({name: pa.array(list(values)) for name, values
+                      in zip(QUERIES.names, columns, strict=True)})
+    return spark.createDataFrame(table, QUERIES)
 
 
 def _clause(word: Column, occur: Column) -> Column:

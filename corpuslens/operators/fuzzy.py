@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslens.functions.distance import osa_distance
-from corpuslens.operators.bounded import settle
+from corpuslens.operators.bounded import hinted, settle
 
 # The largest distance, and how many words one query word stands for.
 MAX_EDITS = 2
@@ -16,6 +16,8 @@ EXPANSIONS = 50
 PLAIN_EDITS = 2 * MAX_EDITS
 # Up to this many query words each vocabulary word is compared with all words of like length.
 FEW_WORDS = 64
+# Up to this many query words their keys (at most 255 each) are broadcast.
+KEYED_WORDS = 2_000
 # Longer words are keyed by pieces instead of deletions, of which they have too many.
 LONG_WORD = 20
 PIECES = PLAIN_EDITS + 1
@@ -81,7 +83,7 @@ def _near_by_length(vocab: DataFrame, words: DataFrame) -> DataFrame:
             .drop("size"))
 
 
-def _near_by_key(vocab: DataFrame, words: DataFrame) -> DataFrame:
+def _near_by_key(vocab: DataFrame, words: DataFrame, rows: list[dict] | None) -> DataFrame:
     """Many words: an equality join on deletions (short words) or pieces (long ones).
 
     Two words within two edits share a form that each reaches by at most two deletions. Words
@@ -96,8 +98,10 @@ def _near_by_key(vocab: DataFrame, words: DataFrame) -> DataFrame:
             F.transform(F.coalesce(by_deletion, none), lambda k: F.concat(F.lit("d"), k)),
             F.transform(F.coalesce(by_piece, none), lambda k: F.concat(F.lit("p"), k)))))
 
+    keys = keyed(words, "word", word_pieces)
+    few = rows if rows is not None and len(rows) <= KEYED_WORDS else None
     pairs = (keyed(vocab.select("field", "term"), "term", term_pieces)
-             .join(keyed(words, "word", word_pieces), ["field", "key"])
+             .join(hinted(keys, few), ["field", "key"])
              .select("field", "term", "word")
              .filter(F.abs(F.length("term") - F.length("word")) <= MAX_EDITS)
              .filter(F.levenshtein("term", "word", PLAIN_EDITS) >= 0)
@@ -112,8 +116,10 @@ def near_terms(vocab: DataFrame, words: DataFrame) -> DataFrame:
     compared by length bands, more by shared keys.
     """
     table, rows = settle(words)
-    few = rows is not None and len(rows) <= FEW_WORDS
-    pairs = (_near_by_length if few else _near_by_key)(vocab, table)
+    if rows is not None and len(rows) <= FEW_WORDS:
+        pairs = _near_by_length(vocab, table)
+    else:
+        pairs = _near_by_key(vocab, table, rows)
     return (pairs.groupBy("field", "word", "term")
             .agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).filter("df > 0")
             .withColumn("distance", osa_distance("word", "term"))

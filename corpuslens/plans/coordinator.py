@@ -70,5 +70,5 @@ def search(spark: SparkSession, options: SearchOptions, *, files: DataFrame | No
     query = query_table(spark, [(1, options.search_term, options.case_sensitive,
                                  options.fuzzy_search, options.exact_phrase, COORDINATOR_HITS)])
     refuse_errors(query)
-    hits = index_search(index, query, live).select("path", "snippet", "source")
+    hits = index_search(index, query, live).orderBy("rank").select("path", "snippet", "source")
     return SearchOutcome(hits, index_stats(hits), messages)

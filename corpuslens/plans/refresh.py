@@ -8,10 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.operators.bounded import checkpointed
 from corpuslens.operators.filters import indexable_metadata, is_binary
 from corpuslens.operators.postings import latest_per_path, postings, vocabulary
 from corpuslens.operators.versions import latest, publish, version_path
 from corpuslens.plans.index import (
+    DOCS,
     Index,
     _write_bucketed,
     _write_vocab,
@@ -30,18 +32,20 @@ def unchanged(now: Column, before: Column) -> Column:
     return now == before
 
 
-def classify(files: DataFrame, prev_docs: DataFrame, admitted: Column) -> DataFrame:
-    """Add ``change_class`` (rejected, new, unchanged, changed) and the id indexed before.
+FACTS = ["path", "extension", "size", "mtime_us"]
 
-    The join moves paths, ids and times only.
-    """
+
+def classify(files: DataFrame, prev_docs: DataFrame, admitted: Column) -> DataFrame:
+    """Metadata of the files with ``change_class`` (rejected, new, unchanged, changed) and the
+    id indexed before. The join moves no texts."""
     before = prev_docs.select("path", F.col("doc_id").alias("prev_doc_id"),
                               F.col("mtime_us").alias("prev_mtime_us"))
+    facts = files.select(*FACTS, *[c for c in ("doc_id",) if c in files.columns])
     change = (F.when(~F.coalesce(admitted, F.lit(False)), "rejected")
               .when(F.col("prev_mtime_us").isNull(), "new")
               .when(unchanged(F.col("mtime_us"), F.col("prev_mtime_us")), "unchanged")
               .otherwise("changed"))
-    return files.join(before, "path", "left").withColumn("change_class", change)
+    return facts.join(before, "path", "left").withColumn("change_class", change)
 
 
 def upsert(prev: DataFrame, new: DataFrame, removed: DataFrame) -> DataFrame:
@@ -75,15 +79,17 @@ class Refreshed:
     removed: DataFrame
 
 
-def _as_read(files: DataFrame) -> DataFrame:
-    return files
+def _from_table(files: DataFrame) -> Reader:
+    """Fetch the texts of due files from the table that has them."""
+    def read(due: DataFrame) -> DataFrame:
+        return files.select("path", "content", "text").join(due, "path")
+    return read
 
 
-def _candidates(prev_docs: DataFrame, files: DataFrame, read: Reader | None,
-                allowed: Iterable[str], max_bytes: int) -> tuple[DataFrame, DataFrame]:
-    classes = classify(files, prev_docs, indexable_metadata(allowed, max_bytes))
+def _indexed(classes: DataFrame, files: DataFrame, read: Reader | None) -> DataFrame:
+    """New and changed files, read; binary ones drop out."""
     due = classes.filter(F.col("change_class").isin("new", "changed"))
-    return classes, (read or _as_read)(due).filter(~is_binary(F.col("content")))
+    return (read or _from_table(files))(due).filter(~is_binary(F.col("content")))
 
 
 def _removed(prev_docs: DataFrame, classes: DataFrame, indexed: DataFrame,
@@ -105,7 +111,8 @@ def refresh_index(prev: Index, files: DataFrame, read: Reader | None = None,
     that adds them; only new and changed files are read. Documents whose file is gone, grew too
     long or turned binary stay in the index, unless ``prune`` is set.
     """
-    classes, indexed = _candidates(prev.docs, files, read, allowed, max_bytes)
+    classes = classify(files, prev.docs, indexable_metadata(allowed, max_bytes))
+    indexed = _indexed(classes, files, read)
     new_docs = as_documents(indexed)
     removed = _removed(prev.docs, classes, indexed, prune)
     new_entries = postings(new_docs)
@@ -130,19 +137,21 @@ def refresh_saved(spark: SparkSession, root: str, files: DataFrame, read: Reader
     vocabulary; the earlier layers are not rewritten. ``compact`` folds them into one.
     """
     entry = latest(spark, root)
+    admitted = indexable_metadata(allowed, max_bytes)
     if entry is None:
-        empty = build_empty(files)
-        classes, indexed = _candidates(empty, files, read, allowed, max_bytes)
-        index = save_index(spark, indexed, root)
+        classes = checkpointed(classify(files, build_empty(spark), admitted))
+        index = save_index(spark, _indexed(classes, files, read), root)
         return index, index_counters(classes, index.docs)
     prev = open_index(spark, root)
     version, buckets = entry["version"] + 1, entry["buckets"]
-    classes, indexed = _candidates(prev.docs, files, read, allowed, max_bytes)
-    saved, entries = write_layer(spark, root, version, buckets, indexed)
-    removed = _removed(prev.docs, classes, classes.join(
-        saved.select("path"), "path", "left_semi"), prune)
-    gone = _write_bucketed(removed.repartition(buckets, "doc_id"),
-                           version_path(root, version, "removed"), buckets, "removed")
+    # One listing decides; the texts are read after it.
+    classes = checkpointed(classify(files, prev.docs, admitted))
+    saved, entries = write_layer(spark, root, version, buckets, _indexed(classes, files, read))
+    written = classes.join(saved.select("path"), "path", "left_semi")
+    gone = _write_bucketed(
+        _removed(prev.docs, classes, written, prune).repartition(buckets, "doc_id"),
+        version_path(root, version, "removed"), buckets, "removed")
+    refuse_reused_ids(prev.docs.join(gone, "doc_id", "left_anti"), saved)
     old_entries = prev.postings.join(gone, "doc_id", "left_semi")
     _write_vocab(vocabulary(entries).unionByName(_negative(vocabulary(old_entries))),
                  version_path(root, version, "vocab"))
@@ -153,10 +162,16 @@ def refresh_saved(spark: SparkSession, root: str, files: DataFrame, read: Reader
     return open_index(spark, root), index_counters(classes, saved)
 
 
-def build_empty(files: DataFrame) -> DataFrame:
+def refuse_reused_ids(staying: DataFrame, new: DataFrame) -> None:
+    """A new document must not take the id of one that stays."""
+    taken = staying.select("doc_id").join(new.select("doc_id"), "doc_id").limit(1).collect()
+    if taken:
+        raise ValueError(f"doc_id {taken[0]['doc_id']} belongs to more than one document")
+
+
+def build_empty(spark: SparkSession) -> DataFrame:
     """A documents table without rows, for a first refresh."""
-    return files.sparkSession.createDataFrame(
-        [], "doc_id bigint, path string, text string, mtime_us bigint")
+    return spark.createDataFrame([], DOCS)
 
 
 def compact(spark: SparkSession, root: str) -> Index:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from corpuslens.functions.scoring import SCORE_PLACES, idf, length_norm, tf
 from corpuslens.functions.snippet import snippet
 from corpuslens.functions.text import blank
-from corpuslens.operators.bounded import SMALL_ROWS, SPELLED_VALUES, any_of, settle
+from corpuslens.operators.bounded import among, hinted, settle
 from corpuslens.operators.clauses import MUST, NOT, SHOULD, query_clauses, query_errors
 from corpuslens.operators.fuzzy import expansions
 from corpuslens.plans.index import Index, summed
@@ -25,21 +25,15 @@ from corpuslens.schema import SOURCE_INDEX
 CLAUSE = ["query_id", "k", "kind", "field", "n_must", "n_counted", "slot", "occur"]
 
 
-def spelled(table: DataFrame, column: str, rows: list[dict] | None) -> DataFrame:
-    """Filter a table by the values of ``rows`` where they are few enough to spell out."""
-    values = {r[column] for r in rows} if rows is not None else set()
-    if rows is None or len(values) > SPELLED_VALUES:
-        return table
-    return table.filter(any_of(F.col(column), list(values)))
-
-
 def _exact_terms(index: Index, clauses: DataFrame, rows: list[dict] | None) -> DataFrame:
     """Tokens of plain and phrase clauses with their document frequency (0 if unknown)."""
     tokens = (clauses.filter("kind <> 'fuzzy'")
               .select(*CLAUSE, F.size("tokens").alias("need"), F.inline("tokens")))
-    wanted, few = settle(tokens.select("field", "term").distinct())
-    known = summed(spelled(index.vocab, "term", few).join(wanted, ["field", "term"], "left_semi"))
-    return (tokens.join(known, ["field", "term"], "left")
+    wanted = tokens.select("field", "term").distinct()
+    asked = None if rows is None else [t for row in rows for t in row["tokens"]]
+    entries = among(index.vocab, "term", asked)
+    known = summed(entries.join(hinted(wanted, asked), ["field", "term"], "left_semi"))
+    return (tokens.join(hinted(known, asked), ["field", "term"], "left")
             .withColumn("df", F.coalesce("df", F.lit(0)))
             .withColumn("boost", F.lit(1.0)))
 
@@ -86,8 +80,8 @@ def weighted_terms(index: Index, queries: DataFrame) -> tuple[DataFrame, list[di
 
 def term_matches(index: Index, terms: DataFrame, rows: list[dict] | None) -> DataFrame:
     """Postings of the query terms. Few terms reach the Parquet reader as a filter."""
-    entries = spelled(spelled(index.postings, "field", rows), "term", rows)
-    found = entries.join(terms, ["field", "term"])
+    entries = among(among(index.postings, "field", rows), "term", rows)
+    found = entries.join(hinted(terms, rows), ["field", "term"])
     return found if index.co_located else found.repartition("query_id", "doc_id")
 
 
@@ -158,7 +152,7 @@ def scored(index: Index, terms: DataFrame, rows: list[dict] | None) -> DataFrame
     return per_doc.filter(matched).select("query_id", "doc_id", score.alias("score"), "k")
 
 
-def top_hits(scores: DataFrame, rows: list[dict] | None) -> DataFrame:
+def top_hits(scores: DataFrame, terms: DataFrame, rows: list[dict] | None) -> DataFrame:
     """The best k per query, by score, then by document id; ``rank`` counts from 1.
 
     One query takes Spark's bounded top-k. For a batch, the literal bound lets each task drop
@@ -172,7 +166,7 @@ def top_hits(scores: DataFrame, rows: list[dict] | None) -> DataFrame:
     elif rows is not None:
         most = max((r["k"] for r in rows), default=0)
     else:
-        most = scores.agg(F.max("k")).first()[0] or 0
+        most = terms.agg(F.max("k")).first()[0] or 0
     return (scores.withColumn("rank", ranked).filter(F.col("rank") <= F.lit(most))
             .filter(F.col("rank") <= F.col("k"))
             .select("query_id", "rank", "doc_id", "score"))
@@ -184,18 +178,19 @@ def ranked_documents(index: Index, queries: DataFrame) -> DataFrame:
     Queries with an error have no rows; ``query_errors`` names them.
     """
     terms, rows = weighted_terms(index, queries)
-    return top_hits(scored(index, terms, rows), rows)
+    return top_hits(scored(index, terms, rows), terms, rows)
 
 
 def fetch(index: Index, hits: DataFrame, rows: list[dict] | None,
           columns: list[str]) -> DataFrame:
     """Add stored columns of the hit documents.
 
-    Few hits are spelled out: Spark then opens only the buckets, row groups and pages that can
-    hold them. More hits are joined, bucket by bucket.
+    Hits that were settled are spelled out: Spark then opens only the buckets that hold them,
+    and of these, if there are few, only the row groups and pages. More hits are joined, bucket
+    by bucket.
     """
-    stored = spelled(index.docs.select("doc_id", *columns), "doc_id", rows)
-    return stored.join(hits, "doc_id")
+    stored = among(index.docs.select("doc_id", *columns), "doc_id", rows)
+    return stored.join(hinted(hits, rows), "doc_id")
 
 
 def index_search(index: Index, queries: DataFrame, live: DataFrame | None = None) -> DataFrame:
@@ -211,7 +206,7 @@ def index_search(index: Index, queries: DataFrame, live: DataFrame | None = None
         found = only_live(found, live, rows)
     asked = queries.select("query_id", F.col("text").alias("query_text"), "case_sensitive",
                            "phrase")
-    return found.join(F.broadcast(asked) if rows is not None else asked, "query_id").select(
+    return found.join(asked, "query_id").select(
         "query_id", "rank", "path",
         snippet(F.col("text"), F.col("query_text"), F.col("case_sensitive"),
                 F.col("phrase")).alias("snippet"),
@@ -219,13 +214,11 @@ def index_search(index: Index, queries: DataFrame, live: DataFrame | None = None
 
 
 def only_live(hits: DataFrame, live: DataFrame, rows: list[dict] | None) -> DataFrame:
-    """Hits whose path is in ``live``. The live paths among few hits are found by a scan of the
-    large table with the hits' paths broadcast."""
+    """Hits whose path is in ``live``. The live paths among settled hits are found by a scan of
+    the large table with the hits' paths broadcast."""
     paths = hits.select("path").distinct()
-    if rows is not None and len(rows) <= SMALL_ROWS:
-        there = live.select("path").join(F.broadcast(paths), "path", "left_semi").distinct()
-        return hits.join(F.broadcast(there), "path", "left_semi")
-    return hits.join(live.select("path"), "path", "left_semi")
+    there = live.select("path").join(hinted(paths, rows), "path", "left_semi").distinct()
+    return hits.join(hinted(there, rows), "path", "left_semi")
 
 
 def refuse_errors(queries: DataFrame) -> None:
