@@ -35,15 +35,17 @@ SORTED_BY = {
 
 @dataclass(frozen=True)
 class Index:
-    """An index as three tables.
+    """An index as tables.
 
-    ``vocab`` may hold several rows per term, negative ones for removed documents; their sum
-    counts. ``co_located`` says that docs and postings are bucketed by ``doc_id``.
+    ``layers`` are postings tables; each document has its postings in one of them. With
+    ``signed``, ``vocab`` may hold several rows per term, negative ones for removed documents,
+    and their sum counts. ``co_located`` says that docs and postings are bucketed by ``doc_id``.
     """
 
     docs: DataFrame
-    postings: DataFrame
+    layers: tuple[DataFrame, ...]
     vocab: DataFrame
+    signed: bool = False
     co_located: bool = False
     version: int | None = None
     _n_docs: list = field(default_factory=list, compare=False, repr=False)
@@ -55,14 +57,17 @@ class Index:
             self._n_docs.append(self.docs.count())
         return self._n_docs[0]
 
-    def terms(self) -> DataFrame:
-        """``field, term, df, cf`` with one row per term in use."""
-        return summed(self.vocab)
-
+    @property
+    def postings(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.layers)
 
-def summed(vocab: DataFrame) -> DataFrame:
-    return (vocab.groupBy("field", "term")
-            .agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).filter("df > 0"))
+    def terms(self, entries: DataFrame | None = None) -> DataFrame:
+        """``field, term, df, cf`` with one row per term in use; of some vocabulary rows only."""
+        rows = self.vocab if entries is None else entries
+        if not self.signed:
+            return rows
+        return (rows.groupBy("field", "term")
+                .agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).filter("df > 0"))
 
 
 def as_documents(docs: DataFrame) -> DataFrame:
@@ -75,7 +80,7 @@ def build_index(docs: DataFrame) -> Index:
     """The index of ``(doc_id, path, text, mtime_us)``, lazily; one row per path is expected."""
     documents = as_documents(docs)
     entries = postings(documents)
-    return Index(documents, entries, vocabulary(entries))
+    return Index(documents, (entries,), vocabulary(entries))
 
 
 def _table_name(location: str) -> str:
@@ -154,20 +159,19 @@ def open_index(spark: SparkSession, root: str) -> Index:
         return _read_bucketed(spark, version_path(root, version, part), buckets, part, columns)
 
     def live(version: int, part: str, columns: str) -> DataFrame:
+        """A layer's rows without those removed since; a broadcast or a bucket-wise join."""
         rows = table(version, part, columns)
-        later = [table(v, "removed", REMOVED) for v in layers if v > version]
-        if not later:
-            return rows
-        gone = reduce(DataFrame.unionByName, later)
         small = (entry["n_removed"] or 0) <= SMALL_ROWS
-        return rows.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
-
-    def whole(part: str, columns: str) -> DataFrame:
-        return reduce(DataFrame.unionByName, [live(v, part, columns) for v in layers])
+        for later in layers[version - entry["base"] + 1:]:
+            gone = table(later, "removed", REMOVED)
+            rows = rows.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
+        return rows
 
+    docs = reduce(DataFrame.unionByName, [live(v, "docs", DOCS) for v in layers])
+    postings_layers = tuple(live(v, "postings", POSTINGS) for v in layers)
     vocab = spark.read.schema(VOCAB).parquet(
         *[version_path(root, v, "vocab") for v in layers])
-    index = Index(whole("docs", DOCS), whole("postings", POSTINGS), vocab,
-                  co_located=True, version=entry["version"])
+    index = Index(docs, postings_layers, vocab, signed=len(layers) > 1, co_located=True,
+                  version=entry["version"])
     index._n_docs.append(entry["n_docs"])
     return index

@@ -120,7 +120,7 @@ def refresh_index(prev: Index, files: DataFrame, read: Reader | None = None,
     vocab = (prev.vocab.unionByName(vocabulary(new_entries))
              .unionByName(_negative(vocabulary(old_entries))))
     following = Index(upsert(prev.docs, new_docs, removed),
-                      upsert(prev.postings, new_entries, removed), vocab)
+                      (upsert(prev.postings, new_entries, removed),), vocab, signed=True)
     return Refreshed(following, index_counters(classes, indexed), new_docs, removed)
 
 

@@ -9,6 +9,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ from corpuslens.functions.text import blank
 from corpuslens.operators.bounded import among, hinted, settle
 from corpuslens.operators.clauses import MUST, NOT, SHOULD, query_clauses, query_errors
 from corpuslens.operators.fuzzy import expansions
-from corpuslens.plans.index import Index, summed
+from corpuslens.plans.index import Index
 from corpuslens.schema import SOURCE_INDEX
 
 CLAUSE = ["query_id", "k", "kind", "field", "n_must", "n_counted", "slot", "occur"]
@@ -29,10 +31,10 @@ def _exact_terms(index: Index, clauses: DataFrame, rows: list[dict] | None) -> D
     """Tokens of plain and phrase clauses with their document frequency (0 if unknown)."""
     tokens = (clauses.filter("kind <> 'fuzzy'")
               .select(*CLAUSE, F.size("tokens").alias("need"), F.inline("tokens")))
-    wanted = tokens.select("field", "term").distinct()
+    wanted = tokens.select("field", "term")
     asked = None if rows is None else [t for row in rows for t in row["tokens"]]
-    entries = among(index.vocab, "term", asked)
-    known = summed(entries.join(hinted(wanted, asked), ["field", "term"], "left_semi"))
+    entries = among(among(index.vocab, "field", rows), "term", asked)
+    known = index.terms(entries.join(hinted(wanted, asked), ["field", "term"], "left_semi"))
     return (tokens.join(hinted(known, asked), ["field", "term"], "left")
             .withColumn("df", F.coalesce("df", F.lit(0)))
             .withColumn("boost", F.lit(1.0)))
@@ -78,9 +80,10 @@ def weighted_terms(index: Index, queries: DataFrame) -> tuple[DataFrame, list[di
         *[(F.col("occur") == o).cast("int").alias(f"is_{o}") for o in (MUST, SHOULD, NOT)]))
 
 
-def term_matches(index: Index, terms: DataFrame, rows: list[dict] | None) -> DataFrame:
+def term_matches(index: Index, layer: DataFrame, terms: DataFrame,
+                 rows: list[dict] | None) -> DataFrame:
     """Postings of the query terms. Few terms reach the Parquet reader as a filter."""
-    entries = among(among(index.postings, "field", rows), "term", rows)
+    entries = among(among(layer, "field", rows), "term", rows)
     found = entries.join(hinted(terms, rows), ["field", "term"])
     return found if index.co_located else found.repartition("query_id", "doc_id")
 
@@ -123,13 +126,20 @@ def _phrase_slots(matches: DataFrame) -> DataFrame:
 
 
 def scored(index: Index, terms: DataFrame, rows: list[dict] | None) -> DataFrame:
-    """``query_id, doc_id, score, k`` of every matching document."""
+    """``query_id, doc_id, score, k`` of every matching document.
+
+    Layer by layer, as a document lies in one of them: each keeps its own bucketing.
+    """
+    return reduce(DataFrame.unionByName, [
+        _scored_layer(term_matches(index, layer, terms, rows), rows) for layer in index.layers])
+
+
+def _scored_layer(matches: DataFrame, rows: list[dict] | None) -> DataFrame:
     if rows is None:
         kinds, single = {"plain", "phrase"}, False
     else:
         kinds = {"phrase" if r["kind"] == "phrase" else "plain" for r in rows}
         single = all(r["need"] == 1 and r["kind"] == "plain" for r in rows)
-    matches = term_matches(index, terms, rows)
     columns = ["query_id", "doc_id", "part", *_PER_SLOT]
     if single:
         # Each clause is one term, so that a row already stands for a matched clause.
@@ -201,9 +211,10 @@ def index_search(index: Index, queries: DataFrame, live: DataFrame | None = None
     limit, so that fewer than k rows may come back; ranks keep their gaps.
     """
     hits, rows = settle(ranked_documents(index, queries))
-    found = fetch(index, hits, rows, ["path", "text"]).filter(~blank(F.col("path")))
     if live is not None:
-        found = only_live(found, live, rows)
+        there = only_live(*settle(fetch(index, hits, rows, ["path"])), live)
+        hits, rows = settle(there.drop("path"))
+    found = fetch(index, hits, rows, ["path", "text"]).filter(~blank(F.col("path")))
     asked = queries.select("query_id", F.col("text").alias("query_text"), "case_sensitive",
                            "phrase")
     return found.join(asked, "query_id").select(
@@ -213,11 +224,11 @@ def index_search(index: Index, queries: DataFrame, live: DataFrame | None = None
         "score", F.lit(SOURCE_INDEX).alias("source"))
 
 
-def only_live(hits: DataFrame, live: DataFrame, rows: list[dict] | None) -> DataFrame:
-    """Hits whose path is in ``live``. The live paths among settled hits are found by a scan of
-    the large table with the hits' paths broadcast."""
-    paths = hits.select("path").distinct()
-    there = live.select("path").join(hinted(paths, rows), "path", "left_semi").distinct()
+def only_live(hits: DataFrame, rows: list[dict] | None, live: DataFrame) -> DataFrame:
+    """Hits whose path is in ``live``. Settled hits are looked up by a scan of the large table,
+    with their paths in its filter if few; only paths found there are joined back."""
+    paths = hinted(hits.select("path"), rows)
+    there = among(live.select("path"), "path", rows).join(paths, "path", "left_semi").distinct()
     return hits.join(hinted(there, rows), "path", "left_semi")
 
 

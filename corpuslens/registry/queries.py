@@ -157,7 +157,7 @@ def _scores(spark: SparkSession, sf: str, query_id: int) -> DataFrame:
 def _phrases(spark: SparkSession, sf: str, query_id: int) -> DataFrame:
     ix = index(spark, sf)
     terms, rows = Q.weighted_terms(ix, _ask(spark, query_id))
-    return Q.phrase_matches(Q.term_matches(ix, terms, rows))
+    return Q.phrase_matches(Q.term_matches(ix, ix.postings, terms, rows))
 
 
 def _scan_options(**more) -> SearchOptions:
@@ -321,7 +321,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             search_term="The", search_content=True, case_sensitive=True))[0],
         "J1_change_class": lambda s, d: _refresh_classes(s, d).select("path", "change_class"),
         "J2_term_lookup": lambda s, d: Q.term_matches(
-            index(s, d), *Q.weighted_terms(index(s, d), _ask(s, 2))).select(
+            index(s, d), index(s, d).postings, *Q.weighted_terms(index(s, d), _ask(s, 2))).select(
             "doc_id", "term", "tf"),
         "J3_phrase_positions": lambda s, d: _phrases(s, d, 3).select(
             "doc_id", F.explode(F.aggregate("moved", F.get(col("moved"), F.lit(0)),
