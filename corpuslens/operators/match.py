@@ -16,7 +16,7 @@ def pattern(term: str, case_sensitive: bool) -> str:
 def check_pattern(spark: SparkSession, term: str) -> None:
     """Raise ``ValueError`` for a malformed pattern, before any file is read."""
     try:
-        spark.range(1).select(F.lit("").rlike(F.lit(pattern(term, False)))).collect()
+        spark.range(1).select(F.lit("").rlike(pattern(term, False))).collect()
     except Exception as error:
         raise ValueError(f"not a regular expression: {term!r}") from error
 

@@ -165,7 +165,7 @@ def open_index(spark: SparkSession, root: str) -> Index:
         for later in layers[version - entry["base"] + 1:]:
             gone = table(later, "removed", REMOVED)
             rows = rows.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
-        return rows
+        return rows.select(*table(version, part, columns).columns)
 
     docs = reduce(DataFrame.unionByName, [live(v, "docs", DOCS) for v in layers])
     postings_layers = tuple(live(v, "postings", POSTINGS) for v in layers)

@@ -50,7 +50,8 @@ def classify(files: DataFrame, prev_docs: DataFrame, admitted: Column) -> DataFr
 
 def upsert(prev: DataFrame, new: DataFrame, removed: DataFrame) -> DataFrame:
     """Rows of documents that stay, and the rows of the new ones."""
-    return prev.join(removed, "doc_id", "left_anti").unionByName(new)
+    stay = prev.join(removed, "doc_id", "left_anti").select(*prev.columns)
+    return stay.unionByName(new)
 
 
 def index_counters(classes: DataFrame, indexed: DataFrame) -> DataFrame:
