@@ -40,6 +40,12 @@ def latest(spark: SparkSession, root: str) -> dict | None:
     return found[0].asDict() if found else None
 
 
+def chain(spark: SparkSession, root: str, entry: dict) -> list[dict]:
+    """Manifest rows of the versions that make up the live one, its base first."""
+    rows = manifest(spark, root).filter(F.col("version").between(entry["base"], entry["version"]))
+    return [r.asDict() for r in rows.orderBy("version").collect()]
+
+
 def publish(spark: SparkSession, root: str, *, version: int, base: int | None = None,
             buckets: int | None = None, n_docs: int | None = None,
             n_removed: int | None = None) -> None:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from corpuslens.functions.paths import document_id
 from corpuslens.operators.bounded import SMALL_ROWS
 from corpuslens.operators.postings import postings, vocabulary
-from corpuslens.operators.versions import latest, publish, version_path
+from corpuslens.operators.versions import chain, latest, publish, version_path
 
 DOCS = "doc_id bigint, path string, text string, mtime_us bigint"
 POSTINGS = ("field string, term string, doc_id bigint, tf int, positions array<int>, "
@@ -39,7 +39,8 @@ class Index:
 
     ``layers`` are postings tables; each document has its postings in one of them. With
     ``signed``, ``vocab`` may hold several rows per term, negative ones for removed documents,
-    and their sum counts. ``co_located`` says that docs and postings are bucketed by ``doc_id``.
+    and their sum counts. ``co_located`` says that the postings of a document are in one
+    partition, hashed or bucketed by ``doc_id``.
     """
 
     docs: DataFrame
@@ -76,11 +77,21 @@ def as_documents(docs: DataFrame) -> DataFrame:
     return docs.select(key.cast("bigint").alias("doc_id"), "path", "text", "mtime_us")
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """Documents hashed by id over the session's shuffle partitions.
+
+    Few large row groups would otherwise leave the tokenizer to few tasks. What is derived from
+    a document stays in its partition, so that a search needs no further shuffle of postings.
+    """
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.repartition(tasks, "doc_id")
+
+
 def build_index(docs: DataFrame) -> Index:
     """The index of ``(doc_id, path, text, mtime_us)``, lazily; one row per path is expected."""
-    documents = as_documents(docs)
+    documents = spread(as_documents(docs))
     entries = postings(documents)
-    return Index(documents, (entries,), vocabulary(entries))
+    return Index(documents, (entries,), vocabulary(entries), co_located=True)
 
 
 def _table_name(location: str) -> str:
@@ -153,24 +164,26 @@ def open_index(spark: SparkSession, root: str) -> Index:
     entry = latest(spark, root)
     if entry is None:
         raise ValueError(f"no index at {root}")
-    buckets, layers = entry["buckets"], range(entry["base"], entry["version"] + 1)
+    layers = chain(spark, root, entry)
+    small = (entry["n_removed"] or 0) <= SMALL_ROWS
 
-    def table(version: int, part: str, columns: str) -> DataFrame:
-        return _read_bucketed(spark, version_path(root, version, part), buckets, part, columns)
+    def table(layer: dict, part: str, columns: str) -> DataFrame:
+        location = version_path(root, layer["version"], part)
+        return _read_bucketed(spark, location, layer["buckets"], part, columns)
 
-    def live(version: int, part: str, columns: str) -> DataFrame:
+    def live(place: int, part: str, columns: str) -> DataFrame:
         """A layer's rows without those removed since; a broadcast or a bucket-wise join."""
-        rows = table(version, part, columns)
-        small = (entry["n_removed"] or 0) <= SMALL_ROWS
-        for later in layers[version - entry["base"] + 1:]:
+        rows = table(layers[place], part, columns)
+        names = rows.columns
+        for later in layers[place + 1:]:
             gone = table(later, "removed", REMOVED)
             rows = rows.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
-        return rows.select(*table(version, part, columns).columns)
+        return rows.select(*names)
 
-    docs = reduce(DataFrame.unionByName, [live(v, "docs", DOCS) for v in layers])
-    postings_layers = tuple(live(v, "postings", POSTINGS) for v in layers)
+    docs = reduce(DataFrame.unionByName, [live(i, "docs", DOCS) for i in range(len(layers))])
+    postings_layers = tuple(live(i, "postings", POSTINGS) for i in range(len(layers)))
     vocab = spark.read.schema(VOCAB).parquet(
-        *[version_path(root, v, "vocab") for v in layers])
+        *[version_path(root, layer["version"], "vocab") for layer in layers])
     index = Index(docs, postings_layers, vocab, signed=len(layers) > 1, co_located=True,
                   version=entry["version"])
     index._n_docs.append(entry["n_docs"])

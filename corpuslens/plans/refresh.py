@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from corpuslens.operators.bounded import checkpointed
 from corpuslens.operators.filters import indexable_metadata, is_binary
 from corpuslens.operators.postings import latest_per_path, postings, vocabulary
-from corpuslens.operators.versions import latest, publish, version_path
+from corpuslens.operators.versions import chain, latest, publish, version_path
 from corpuslens.plans.index import (
     DOCS,
     Index,
@@ -20,6 +21,7 @@ from corpuslens.plans.index import (
     as_documents,
     open_index,
     save_index,
+    spread,
     write_layer,
 )
 from corpuslens.schema import DEFAULT_EXTENSIONS, MAX_FILE_BYTES
@@ -116,7 +118,7 @@ def refresh_index(prev: Index, files: DataFrame, read: Reader | None = None,
     indexed = _indexed(classes, files, read)
     new_docs = as_documents(indexed)
     removed = _removed(prev.docs, classes, indexed, prune)
-    new_entries = postings(new_docs)
+    new_entries = postings(spread(new_docs))
     old_entries = prev.postings.join(removed, "doc_id", "left_semi")
     vocab = (prev.vocab.unionByName(vocabulary(new_entries))
              .unionByName(_negative(vocabulary(old_entries))))
@@ -144,9 +146,10 @@ def refresh_saved(spark: SparkSession, root: str, files: DataFrame, read: Reader
         index = save_index(spark, _indexed(classes, files, read), root)
         return index, index_counters(classes, index.docs)
     prev = open_index(spark, root)
-    version, buckets = entry["version"] + 1, entry["buckets"]
+    version = entry["version"] + 1
     # One listing decides; the texts are read after it.
     classes = checkpointed(classify(files, prev.docs, admitted))
+    buckets = layer_buckets(spark, root, entry, classes)
     saved, entries = write_layer(spark, root, version, buckets, _indexed(classes, files, read))
     written = classes.join(saved.select("path"), "path", "left_semi")
     gone = _write_bucketed(
@@ -163,6 +166,16 @@ def refresh_saved(spark: SparkSession, root: str, files: DataFrame, read: Reader
     return open_index(spark, root), index_counters(classes, saved)
 
 
+def layer_buckets(spark: SparkSession, root: str, entry: dict, classes: DataFrame) -> int:
+    """As many buckets as the due files are worth at the base's number of documents per bucket,
+    but enough to keep the session's tasks busy."""
+    base = chain(spark, root, entry)[0]
+    due = classes.filter(F.col("change_class").isin("new", "changed")).count()
+    share = math.ceil(base["buckets"] * due / max(1, base["n_docs"]))
+    busy = min(base["buckets"], spark.sparkContext.defaultParallelism)
+    return max(busy, share)
+
+
 def refuse_reused_ids(staying: DataFrame, new: DataFrame) -> None:
     """A new document must not take the id of one that stays."""
     taken = staying.select("doc_id").join(new.select("doc_id"), "doc_id").limit(1).collect()
@@ -178,7 +191,8 @@ def build_empty(spark: SparkSession) -> DataFrame:
 def compact(spark: SparkSession, root: str) -> Index:
     """Fold all layers into a new base, from the documents that are live."""
     entry = latest(spark, root)
-    return save_index(spark, open_index(spark, root).docs, root, entry["buckets"])
+    buckets = chain(spark, root, entry)[0]["buckets"]
+    return save_index(spark, open_index(spark, root).docs, root, buckets)
 
 
 __all__ = ["Refreshed", "classify", "compact", "index_counters", "latest_per_path",

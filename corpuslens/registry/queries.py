@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import re
 import uuid
 from collections.abc import Callable
 from functools import partial
@@ -104,10 +104,10 @@ def refreshed(spark: SparkSession, sf: str) -> tuple[Index, DataFrame]:
 def tree(spark: SparkSession, sf: str) -> str:
     """The files as real files below a new folder, written by tasks."""
     def make():
-        base = shared_folder(spark)
-        base = base.removeprefix("file:") if base.startswith("file:") else base
-        root = (os.path.join(base, f"tree-{uuid.uuid4().hex}") if os.path.isabs(base)
-                else tempfile.mkdtemp(prefix="corpuslens-tree-"))
+        base = re.sub("^file:/+", "/", shared_folder(spark))
+        if not os.path.isabs(base):
+            raise ValueError(f"a file tree needs a file system every executor sees, not {base}")
+        root = os.path.join(base, f"tree-{uuid.uuid4().hex}")
 
         def write(rows) -> None:
             for row in rows:
