@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import (
@@ -24,8 +24,53 @@ from corpuslens.functions.text import (
 from corpuslens.schema import FIELD, FIELD_CASE, QUERIES
 
 MUST, SHOULD, NOT = "must", "should", "not"
-CLAUSES = "array<struct<word:string,occur:string>>"
-JOINERS = ("AND", "OR")
+
+# The state while the words of a plain query are read from left to right: the clauses so far, an
+# AND or OR still to be used, whether NOT came just before, whether any clause text was seen.
+_START = """named_struct(
+    'clauses', CAST(array() AS array<struct<word:string,occur:string>>), 'joiner', '',
+    'negate', false, 'seen', false, 'error', CAST(NULL AS string))"""
+_PLAIN = f"""aggregate(words, {_START}, (s, w) -> CASE
+    WHEN s.error IS NOT NULL THEN s
+    WHEN w.word = 'NOT' AND s.negate
+      OR w.word IN ('AND', 'OR') AND (NOT s.seen OR s.joiner <> '' OR s.negate)
+    THEN named_struct('clauses', s.clauses, 'joiner', s.joiner, 'negate', s.negate,
+                      'seen', s.seen, 'error', concat('unexpected ', w.word))
+    WHEN w.word = 'NOT'
+    THEN named_struct('clauses', s.clauses, 'joiner', s.joiner, 'negate', true,
+                      'seen', s.seen, 'error', CAST(NULL AS string))
+    WHEN w.word IN ('AND', 'OR')
+    THEN named_struct('clauses', s.clauses, 'joiner', w.word, 'negate', s.negate,
+                      'seen', s.seen, 'error', CAST(NULL AS string))
+    ELSE named_struct(
+      'clauses', concat(
+        CASE WHEN size(s.clauses) = 0 OR s.joiner = '' THEN s.clauses
+             ELSE concat(slice(s.clauses, 1, size(s.clauses) - 1), array(named_struct(
+               'word', element_at(s.clauses, -1).word,
+               'occur', CASE WHEN element_at(s.clauses, -1).occur = 'not' THEN 'not'
+                             WHEN s.joiner = 'AND' THEN 'must' ELSE 'should' END))) END,
+        CASE WHEN w.has_token THEN array(named_struct('word', w.word,
+               'occur', CASE WHEN s.negate THEN 'not' WHEN s.joiner = 'OR' THEN 'should'
+                             ELSE 'must' END))
+             ELSE array() END),
+      'joiner', '', 'negate', false, 'seen', true, 'error', CAST(NULL AS string))
+  END)"""
+# Struct of clauses and error for each kind. A fuzzy word is lower-cased and not analysed; the
+# text of a phrase is one clause, which matches nothing if it has no tokens.
+_READ = f"""CASE kind
+  WHEN 'phrase' THEN named_struct(
+    'clauses', array(named_struct('word', text, 'occur', 'must')), 'error', CAST(NULL AS string))
+  WHEN 'fuzzy' THEN named_struct(
+    'clauses', transform(words, w -> named_struct('word', lower(w.word), 'occur', 'must')),
+    'error', CASE WHEN exists(words, w -> w.word IN ('AND', 'OR', 'NOT'))
+                  THEN 'operator in a fuzzy query'
+                  WHEN size(words) = 0 THEN 'empty query' END)
+  ELSE transform(array({_PLAIN}), s -> named_struct(
+    'clauses', s.clauses,
+    'error', CASE WHEN s.error IS NOT NULL THEN s.error
+                  WHEN s.joiner <> '' OR s.negate THEN 'ends with an operator'
+                  WHEN NOT s.seen THEN 'empty query' END))[0]
+  END"""
 
 
 def query_table(spark: SparkSession, queries: Iterable[tuple]) -> DataFrame:
@@ -36,83 +81,18 @@ def query_table(spark: SparkSession, queries: Iterable[tuple]) -> DataFrame:
     return spark.createDataFrame(table, QUERIES)
 
 
-def _clause(word: Column, occur: Column) -> Column:
-    return F.struct(word.alias("word"), occur.alias("occur"))
-
-
-def _state(clauses: Column, joiner: Column, negate: Column, seen: Column, error: Column) -> Column:
-    return F.struct(clauses.alias("clauses"), joiner.alias("joiner"), negate.alias("negate"),
-                    seen.alias("seen"), error.cast("string").alias("error"))
-
-
-def _read_word(state: Column, word: Column) -> Column:
-    """The state after one more word."""
-    clauses, joiner, negate = state["clauses"], state["joiner"], state["negate"]
-    failed = _state(clauses, joiner, negate, state["seen"], F.concat(F.lit("unexpected "), word))
-    last = F.get(clauses, F.size(clauses) - 1)
-    demoted = (F.when(last["occur"] == NOT, NOT).when(joiner == "AND", MUST)
-               .when(joiner == "OR", SHOULD).otherwise(last["occur"]))
-    before = F.when(F.size(clauses) == 0, clauses).otherwise(F.concat(
-        F.slice(clauses, F.lit(1), F.size(clauses) - 1),
-        F.array(_clause(last["word"], demoted))))
-    occur = F.when(negate, NOT).when(joiner == "OR", SHOULD).otherwise(MUST)
-    has_token = F.exists(case_tokens(word), kept)
-    after = F.when(has_token, F.concat(before, F.array(_clause(word, occur)))).otherwise(before)
-    none = F.lit(None)
-    return (
-        F.when(state["error"].isNotNull(), state)
-        .when(word == "NOT", F.when(negate, failed).otherwise(
-            _state(clauses, joiner, F.lit(True), state["seen"], none)))
-        .when(word.isin(*JOINERS), F.when(~state["seen"] | (joiner != "") | negate, failed)
-              .otherwise(_state(clauses, word, negate, state["seen"], none)))
-        .otherwise(_state(after, F.lit(""), F.lit(False), F.lit(True), none))
-    )
-
-
-def plain_clauses(text: Column) -> Column:
-    """``struct<clauses, error>`` of a query in the plain form."""
-    words = split_terms(text, WORD_SPACE)
-    start = _state(F.array().cast(CLAUSES), F.lit(""), F.lit(False), F.lit(False), F.lit(None))
-    end = F.aggregate(words, start, _read_word)
-    return bind(end, lambda s: F.struct(
-        s["clauses"].alias("clauses"),
-        F.coalesce(
-            s["error"],
-            F.when((s["joiner"] != "") | s["negate"], "ends with an operator"),
-            F.when(~s["seen"], "empty query"),
-        ).alias("error"),
-    ))
-
-
-def fuzzy_clauses(text: Column) -> Column:
-    """Each word is one clause, lower-cased and not analysed; an operator word is an error."""
-    words = split_terms(text)
-    clauses = F.transform(words, lambda w: _clause(F.lower(w), F.lit(MUST)))
-    return F.struct(clauses.cast(CLAUSES).alias("clauses"), F.coalesce(
-        F.when(F.exists(words, lambda w: w.isin("AND", "OR", "NOT")), "operator in a fuzzy query"),
-        F.when(F.size(words) == 0, "empty query"),
-    ).alias("error"))
-
-
-def phrase_clauses(text: Column) -> Column:
-    """The whole text is one clause; without tokens it matches nothing."""
-    return F.struct(F.array(_clause(text, F.lit(MUST))).cast(CLAUSES).alias("clauses"),
-                    F.lit(None).cast("string").alias("error"))
-
-
 def read_queries(queries: DataFrame) -> DataFrame:
     """Add ``kind`` (phrase wins over fuzzy), ``field``, ``clauses`` and ``error``."""
-    kind = F.when(F.col("phrase"), "phrase").when(F.col("fuzzy"), "fuzzy").otherwise("plain")
     text = F.col("text")
-    read = (F.when(F.col("kind") == "phrase", phrase_clauses(text))
-            .when(F.col("kind") == "fuzzy", fuzzy_clauses(text))
-            .otherwise(plain_clauses(text)))
-    return (queries.withColumn("kind", kind)
-            .withColumn("field", F.when(F.col("case_sensitive"), FIELD_CASE).otherwise(FIELD))
-            .withColumn("read", read)
-            .withColumn("clauses", F.col("read.clauses"))
-            .withColumn("error", F.col("read.error"))
-            .drop("read"))
+    words = F.when(F.col("fuzzy"), split_terms(text)).otherwise(split_terms(text, WORD_SPACE))
+    with_words = queries.select(
+        "*",
+        F.expr("CASE WHEN phrase THEN 'phrase' WHEN fuzzy THEN 'fuzzy' ELSE 'plain' END AS kind"),
+        F.expr(f"CASE WHEN case_sensitive THEN '{FIELD_CASE}' ELSE '{FIELD}' END AS field"),
+        F.transform(words, lambda w: F.struct(
+            w.alias("word"), F.exists(case_tokens(w), kept).alias("has_token"))).alias("words"))
+    return (with_words.select("*", F.expr(_READ).alias("read")).drop("words")
+            .select("*", "read.clauses", "read.error").drop("read"))
 
 
 def query_errors(queries: DataFrame) -> DataFrame:
@@ -126,20 +106,16 @@ def query_clauses(queries: DataFrame) -> DataFrame:
     ``n_counted`` are the clauses not negated. ``tokens`` are ``(term, offset)`` as the field's
     analyser gives them; offsets keep the places of over-long tokens.
     """
-    def n(test) -> Column:
-        return F.size(F.filter("clauses", test))
-
-    tokens = bind(case_tokens(F.col("word")), lambda t: F.filter(
+    tokens = bind(case_tokens(F.col("clause.word")), lambda t: F.filter(
         F.transform(F.when(F.col("case_sensitive"), t).otherwise(lowered(t)),
                     lambda term, i: F.struct(term.alias("term"), i.alias("offset"))),
         lambda p: kept(p["term"])))
     return (
         read_queries(queries).filter("error IS NULL")
         .select("query_id", "k", "kind", "field", "case_sensitive",
-                n(lambda c: c["occur"] == MUST).alias("n_must"),
-                n(lambda c: c["occur"] != NOT).alias("n_counted"),
+                F.expr("size(filter(clauses, c -> c.occur = 'must')) AS n_must"),
+                F.expr("size(filter(clauses, c -> c.occur <> 'not')) AS n_counted"),
                 F.posexplode("clauses").alias("slot", "clause"))
-        .select("*", "clause.word", "clause.occur")
-        .withColumn("tokens", tokens)
-        .drop("clause", "case_sensitive")
+        .select("query_id", "k", "kind", "field", "n_must", "n_counted", "slot",
+                "clause.word", "clause.occur", tokens.alias("tokens"))
     )
