@@ -64,9 +64,11 @@ def any_of(column: str, values: list) -> Column:
         return F.lit(False)
     size = IN_LIST if len(ordered) <= SPELLED_VALUES else len(ordered)
     parts = [ordered[i:i + size] for i in range(0, len(ordered), size)]
-    if isinstance(ordered[0], int):
-        return _either([F.expr(f"{column} IN ({', '.join(map(str, part))})") for part in parts])
-    return _either([F.col(column).isin(part) for part in parts])
+    literals = [repr(v) if isinstance(v, int) else f"'{v}'" for v in ordered]
+    if any(isinstance(v, str) and ("'" in v or "\\" in v) for v in ordered):
+        return _either([F.col(column).isin(part) for part in parts])
+    return _either([F.expr(f"{column} IN ({', '.join(literals[i:i + size])})")
+                    for i in range(0, len(literals), size)])
 
 
 def among(table: DataFrame, column: str, rows: list[dict] | None) -> DataFrame:

@@ -24,6 +24,8 @@ from corpuslens.operators.fuzzy import expansions
 from corpuslens.plans.index import Index
 from corpuslens.schema import SOURCE_INDEX
 
+# With fewer rows than this a second pass over the postings costs more than it saves.
+WORTH_LEADING = 20_000_000
 CLAUSE = ["query_id", "k", "kind", "field", "n_must", "n_counted", "slot", "occur"]
 
 
@@ -76,15 +78,59 @@ def weighted_terms(index: Index, queries: DataFrame) -> tuple[DataFrame, list[di
         F.col("idf") * F.col("idf") * F.col("boost")) * norm
     return settle(terms.select(
         "query_id", "k", "kind", "field", "term", "slot", "need", "offset", "n_must",
-        "n_counted", F.when(F.col("occur") == NOT, 0.0).otherwise(weight).alias("weight"),
+        "n_counted", "df", _leads().alias("lead"), F.when(F.col("occur") == NOT, 0.0).otherwise(weight).alias("weight"),
         *[(F.col("occur") == o).cast("int").alias(f"is_{o}") for o in (MUST, SHOULD, NOT)]))
 
 
+def _leads() -> Column:
+    """True for the terms that decide which documents a query can match at all.
+
+    With MUST clauses these are the rarest token, or all expansions of the rarest fuzzy word;
+    without, every SHOULD term.
+    """
+    query = W.partitionBy("query_id")
+    reach = F.when(F.col("kind") == "fuzzy", F.sum("df").over(W.partitionBy("query_id", "slot"))
+                   ).otherwise(F.col("df"))
+    key = F.struct(reach, F.col("slot"), F.col("offset"))
+    rarest = F.min(F.when(F.col("occur") == MUST, key)).over(query)
+    return F.when(F.col("n_must") > 0, key == rarest).otherwise(F.col("occur") == SHOULD)
+
+
+def leads_pay(rows: list[dict] | None, n_docs: int) -> bool:
+    """Whether it is less work to look for the leading terms first.
+
+    Directly, every query takes all rows of each of its terms. With leads, each posting is read
+    once, and meets only the queries whose leading term is in its document.
+    """
+    if rows is None:
+        return True
+    direct = sum(r["df"] for r in rows)
+    read = sum({(r["field"], r["term"]): r["df"] for r in rows}.values())
+    led = sum(r["df"] for r in rows if r["lead"]) * read / max(1, n_docs)
+    return direct >= WORTH_LEADING and 2 * (read + led) < direct
+
+
 def term_matches(index: Index, layer: DataFrame, terms: DataFrame,
                  rows: list[dict] | None) -> DataFrame:
-    """Postings of the query terms. Few terms reach the Parquet reader as a filter."""
-    entries = among(among(layer, "field", rows), "term", rows)
-    found = entries.join(hinted(terms, rows), ["field", "term"])
+    """Postings of the query terms. Few terms reach the Parquet reader as a filter.
+
+    A frequent term that many queries share would multiply its postings by the queries; where
+    ``leads_pay``, only documents with a query's leading term are joined with its other terms.
+    """
+    def postings_of(wanted: list[dict] | None) -> DataFrame:
+        return among(among(layer, "field", wanted), "term", wanted)
+
+    if leads_pay(rows, index.n_docs):
+        leading = None if rows is None else [r for r in rows if r["lead"]]
+        leads = terms.filter("lead").select("query_id", "field", "term")
+        candidates = (postings_of(leading).join(hinted(leads, rows), ["field", "term"])
+                      .select("query_id", "doc_id").distinct())
+        asked = terms.select("field", "term").distinct()
+        found = (postings_of(rows).join(hinted(asked, rows), ["field", "term"], "left_semi")
+                 .join(candidates.hint("shuffle_hash"), "doc_id")
+                 .join(hinted(terms, rows), ["query_id", "field", "term"]))
+    else:
+        found = postings_of(rows).join(hinted(terms, rows), ["field", "term"])
     return found if index.co_located else found.repartition("query_id", "doc_id")
 
 

@@ -187,6 +187,27 @@ def test_saved_search_shuffles_no_postings(spark, tmp_path):
     assert "In(term, [the,with])" in plan
 
 
+def test_leading_terms_change_no_result(spark, monkeypatch):
+    random.seed(8)
+    texts = [" ".join(random.choices("the of with wiht teh Tha der die foo bar getz".split(),
+                                     [30, 20, 5, 1, 1, 1, 3, 2, 1, 1, 1], k=12)) for _ in range(80)]
+    index = build_index(_docs(spark, *texts))
+    queries = query_table(spark, [q.row(i) for i, q in ALL_QUERIES.items()])
+    expected = {tuple(r) for r in ranked_documents(index, queries).collect()}
+    monkeypatch.setattr(retrieve, "leads_pay", lambda rows, n_docs: True)
+    assert {tuple(r) for r in ranked_documents(index, queries).collect()} == expected
+    assert {r[0] for r in expected} >= {1, 2, 3, 4, 5, 6, 7}
+
+
+def test_shared_frequent_terms_are_led_by_rare_ones():
+    def row(term, df, lead):
+        return {"field": "content", "term": term, "df": df, "lead": lead}
+    shared = [row("the", 6_000_000, False), row("rare", 2, True)]
+    assert not retrieve.leads_pay(shared, 10_000_000)
+    assert retrieve.leads_pay(shared * 50, 10_000_000)
+    assert retrieve.leads_pay(None, 10_000_000)
+
+
 def test_invariants_of_refresh(spark):
     docs = with_metadata(_docs(spark, "the first", "the second", "of the third"))
     index = build_index(docs)
