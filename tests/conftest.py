@@ -11,6 +11,7 @@ from corpuslens.registry.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(cores=8, name="corpuslens-tests")
+    session.conf.set("spark.sql.shuffle.partitions", 4)
     yield session
     session.stop()
 

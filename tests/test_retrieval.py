@@ -189,7 +189,7 @@ def test_saved_search_shuffles_no_postings(spark, tmp_path):
 
 def test_leading_terms_change_no_result(spark, monkeypatch):
     random.seed(8)
-    texts = [" ".join(random.choices("the of with wiht teh Tha der die foo bar getz".split(),
+    texts = [" ".join(random.choices("the of with wiht teh The der die foo bar getz".split(),
                                      [30, 20, 5, 1, 1, 1, 3, 2, 1, 1, 1], k=12)) for _ in range(80)]
     index = build_index(_docs(spark, *texts))
     queries = query_table(spark, [q.row(i) for i, q in ALL_QUERIES.items()])
