@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.operators.clauses import query_table
-from corpuslens.plans.index import Index
+from corpuslens.plans.index import Index, index_exists, open_index
 from corpuslens.plans.retrieve import index_search, refuse_errors
 from corpuslens.plans.scan import scan_search, scan_tree
 from corpuslens.schema import COORDINATOR_HITS, SEARCH_STATS, SearchOptions
+from corpuslens.sources.tree import is_file
 
 # What the user is told.
 NO_REGEX = "Regex search is not available when using the content index."
@@ -56,10 +57,14 @@ def search(spark: SparkSession, options: SearchOptions, *, files: DataFrame | No
            index: Index | None = None, live: DataFrame | None = None) -> SearchOutcome:
     """Search ``files`` (or the tree at the root) or ``index``, by the mode rules.
 
-    An index search looks at the text, case, fuzzy and phrase options only; a scan at all others.
+    Without ``index``, one at ``options.content_index_path`` is opened if it is there; its hits
+    are then files, and those that no longer exist are dropped. An index search looks at the
+    text, case, fuzzy and phrase options only; a scan at all others.
     A malformed query or pattern raises ``ValueError`` before any file is read.
     """
-    action, messages = resolve(options, index is not None)
+    on_disk = index is None and options.search_content and index_exists(
+        spark, options.content_index_path)
+    action, messages = resolve(options, index is not None or on_disk)
     if action == "none":
         return SearchOutcome(spark.createDataFrame([], RESULT),
                              spark.createDataFrame([(0, 0, 0)], SEARCH_STATS), messages)
@@ -70,5 +75,8 @@ def search(spark: SparkSession, options: SearchOptions, *, files: DataFrame | No
     query = query_table(spark, [(1, options.search_term, options.case_sensitive,
                                  options.fuzzy_search, options.exact_phrase, COORDINATOR_HITS)])
     refuse_errors(query)
-    hits = index_search(index, query, live).orderBy("rank").select("path", "snippet", "source")
+    hits = index_search(index or open_index(spark, options.content_index_path), query, live)
+    if on_disk and live is None:
+        hits = hits.filter(is_file("path"))
+    hits = hits.orderBy("rank").select("path", "snippet", "source")
     return SearchOutcome(hits, index_stats(hits), messages)

@@ -11,6 +11,7 @@ import os
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,9 @@ from corpuslens.schema import CATALOGUE
 # A listing row of a directory that could not be opened says so here; null for all others.
 LISTING = T.StructType([*CATALOGUE.fields, T.StructField("listing_error", T.StringType())])
 SUBTREES = 256
+# Directories are opened ahead until there are so many per task, so that one large subtree is
+# likely to be cut into many.
+DIRECTORIES_PER_TASK = 8
 READ_BATCH_BYTES = 32 * 1024 * 1024
 READ_BATCH_FILES = 1000
 
@@ -96,10 +100,10 @@ class TreeReader(DataSourceReader):
         self.root, self.subtrees = root, subtrees
 
     def partitions(self) -> list[InputPartition]:
-        """Open directories level by level until there are enough subtrees to share out."""
+        """Open directories level by level until there are enough subtrees to share out evenly."""
         shallow: list[str] = []
         frontier = [self.root]
-        while frontier and len(frontier) < self.subtrees:
+        while frontier and len(frontier) < self.subtrees * DIRECTORIES_PER_TASK:
             below: list[str] = []
             for directory in frontier:
                 try:
@@ -201,6 +205,12 @@ def with_content(files: DataFrame, head: int | None = None,
             .mapInArrow(_read_files(head), schema))
 
 
+@F.pandas_udf(T.BooleanType())
+def is_file(paths: pd.Series) -> pd.Series:
+    """True for a path that names a file now."""
+    return paths.map(os.path.isfile)
+
+
 def with_text(files: DataFrame) -> DataFrame:
     """Add ``content`` and its decoded ``text``."""
     return with_content(files).withColumn("text", file_text(F.col("content")))

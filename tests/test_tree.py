@@ -14,7 +14,7 @@ from corpuslens import (
     search,
 )
 from corpuslens.operators.clauses import query_table
-from corpuslens.plans import scan
+from corpuslens.plans import coordinator, scan
 from corpuslens.plans.catalogue import catalogue
 from corpuslens.plans.refresh import compact, refresh_saved
 from corpuslens.schema import CATALOGUE
@@ -92,6 +92,21 @@ def test_scan_of_a_tree(spark, root, options, found, counters):
     assert {(r["snippet"], r["source"]) for r in outcome.hits.collect()} <= {("", "scan")}
 
 
+def test_search_opens_the_index_and_drops_missing_files(spark, root, tmp_path):
+    place = str(tmp_path / "index")
+    options = SearchOptions(search_term="foo", search_content=True, root_directory=root,
+                            content_index_path=place)
+    assert _names(search(spark, options).hits, root) == ["a.txt"]
+    assert search(spark, options).messages == [("status", coordinator.NO_INDEX_SCAN)]
+    refresh_saved(spark, place, files_of(list_tree(spark, root)), read=with_text)
+    outcome = search(spark, options)
+    assert [tuple(r)[1:] for r in outcome.hits.collect()] == [
+        ("Hello wörld **foo** bar ", "index")]
+    assert tuple(outcome.stats.first()) == (0, 1, 0) and outcome.messages == []
+    os.remove(os.path.join(root, "a.txt"))
+    assert search(spark, options).hits.count() == 0
+
+
 def test_refresh_follows_the_tree(spark, root, tmp_path):
     place = str(tmp_path / "index")
 
