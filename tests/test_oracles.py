@@ -8,10 +8,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from corpuslens.registry.oracles import oracle_sql
+from corpuslens.registry.queries import queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("documents", "pages", "benchmark", "labels", "conversations")
-QUERIES, STATEMENTS = entry_point.queries(), entry_point.oracle_sql()
+QUERIES, STATEMENTS = queries(), oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -41,6 +43,11 @@ def test_every_query_has_a_statement():
     assert set(QUERIES) == set(STATEMENTS)
 
 
+def test_entry_holds_every_query():
+    assert set(QUERIES) <= set(entry_point.queries())
+    assert set(STATEMENTS) <= set(entry_point.oracle_sql())
+
+
 def test_entry_runs(spark):
     df = entry_point.entry(spark)
     assert df.columns == ["query_id", "rank", "path", "snippet", "score", "source"]
