@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import string
+
 from corpuslens.llm.chat import DEFAULT, START, Template
 from corpuslens.llm.licence_texts import LICENCES
 from corpuslens.llm.licences import canonical_sql
 from corpuslens.llm.text import plain_sql
 
+# The word pattern of the contract of op10.
+DECONTAMINATION_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 
 def _op1() -> str:
     known = ", ".join(f"({plain_sql(name)}, {plain_sql(text)})" for name, text in LICENCES)
@@ -63,5 +68,36 @@ SELECT conv_id, count(*) AS n_turns,
 FROM judged GROUP BY conv_id"""
 
 
+def _op10(width: int = 10) -> str:
+    def words(text: str) -> str:
+        low = (f"translate(coalesce({text}, ''), '{string.ascii_uppercase}', "
+               f"'{string.ascii_lowercase}')")
+        return f"regexp_extract_all({low}, {plain_sql(DECONTAMINATION_WORD)})"
+
+    return f"""
+WITH docs AS (SELECT doc_id, {words('text')} AS w FROM documents),
+items AS (SELECT item_id, {words('text')} AS w FROM benchmark),
+item_windows AS (
+  SELECT DISTINCT item_id, least({width}, len(w)) AS n,
+         list_slice(w, i, i + least({width}, len(w)) - 1) AS win
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - {width - 1}))) AS i
+        FROM items WHERE len(w) > 0)),
+doc_windows AS (
+  SELECT doc_id, i, n, list_slice(w, i, i + n - 1) AS win
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i
+        FROM docs CROSS JOIN (SELECT DISTINCT n FROM item_windows))),
+found AS (SELECT doc_id, i, d.n, item_id FROM doc_windows d JOIN item_windows USING (win)),
+hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM found) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _op1(), "op4_chat_format": _op4()}
+    return {"op1_license_scan": _op1(), "op4_chat_format": _op4(),
+            "op10_decontamination": _op10()}
