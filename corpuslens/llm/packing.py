@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.llm.batches import Kept
 from corpuslens.operators.bounded import checkpointed
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -45,24 +46,6 @@ PACKED = PIECES + ", sequence_id long, offset long"
 CLOSING = ".,;:!?%&$*#()[]{}|\"-_/+=~@^`"
 
 
-class Kept(dict):
-    """Values by key, made when first asked for; of rarely asked ones old generations are dropped."""
-
-    def __init__(self, make, size: int) -> None:
-        super().__init__()
-        self.make, self.size, self.older = make, size, {}
-
-    def __missing__(self, key):
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.size:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
