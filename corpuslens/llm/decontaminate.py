@@ -35,7 +35,7 @@ SHARD_BYTES = 16 * 1024 * 1024
 # A-Z to a-z; every other byte below 128 that is no letter or digit to a blank.
 FORM = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32
              for b in range(256))
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 SPAN = T.StructType([T.StructField(n, T.LongType()) for n in ("word", "words", "start", "end")])
 ADDED = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
          T.StructField("item_ids", T.ArrayType(T.LongType())),
