@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import chat, decontaminate, licences, packing, quality
+from corpuslens.llm import chat, decontaminate, licences, lm, packing, quality, toxicity
 from corpuslens.llm.text import held_out, table
+from corpuslens.operators.bounded import hinted, settle
 
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
@@ -20,6 +21,21 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_join("notices", ",").alias("notices"), "n_notices")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is the documents that are labelled good, the background all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good, rows = settle(table(spark, sf_dir, "labels").filter("quality = 1")
+                        .select("doc_id").distinct().withColumn("good", F.lit(True)))
+    flagged = docs.join(hinted(good, rows), "doc_id", "left")
+    return lm.score(docs, *lm.train(flagged, F.col("good"))).drop("text")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.grade_documents(docs, model).drop("text")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame(
@@ -54,6 +70,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
+        "op2_lm_score": op2_lm_score,
+        "op3_toxicity": op3_toxicity,
         "op4_chat_format": op4_chat_format,
         "op7_quality": op7_quality,
         "op9_packing": op9_packing,
