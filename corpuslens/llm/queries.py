@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import chat, decontaminate, licences, lm, packing, quality, toxicity
+from corpuslens.llm import chat, decontaminate, jaccard, licences, lm, packing, quality, toxicity
 from corpuslens.llm.text import held_out, table
 from corpuslens.operators.bounded import hinted, settle
 
@@ -44,6 +44,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(planted)))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -73,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_lm_score": op2_lm_score,
         "op3_toxicity": op3_toxicity,
         "op4_chat_format": op4_chat_format,
+        "op5_ngram_jaccard": op5_ngram_jaccard,
         "op7_quality": op7_quality,
         "op9_packing": op9_packing,
         "op10_decontamination": op10_decontamination,
