@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import chat, decontaminate, jaccard, licences, lm, packing, quality, toxicity
+from corpuslens.llm import chat, decontaminate, embedding, jaccard, licences, lm, packing, quality, toxicity
 from corpuslens.llm.text import held_out, table
 from corpuslens.operators.bounded import hinted, settle
 
@@ -56,6 +56,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= quality.REJECT_BELOW).cast("int").alias("predicted"))
 
 
+def op8_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -79,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chat_format": op4_chat_format,
         "op5_ngram_jaccard": op5_ngram_jaccard,
         "op7_quality": op7_quality,
+        "op8_embedding_join": op8_embedding_join,
         "op9_packing": op9_packing,
         "op10_decontamination": op10_decontamination,
     }
