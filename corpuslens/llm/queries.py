@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import chat, decontaminate, embedding, jaccard, licences, lm, packing, quality, toxicity
+from corpuslens.llm import (
+    chat,
+    decontaminate,
+    embedding,
+    jaccard,
+    language,
+    licences,
+    lm,
+    packing,
+    quality,
+    toxicity,
+)
 from corpuslens.llm.text import held_out, table
 from corpuslens.operators.bounded import hinted, settle
 
@@ -48,6 +59,18 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    host = language.host_of(F.col("url"))
+    declared = language.declared_in(F.col("html"))
+    return language.identify(
+        pages.withColumns({"host": host, "declared": declared}),
+        language.train(table(spark, sf_dir, "documents")), "html", host=F.col("host"),
+        suffix=language.suffix_of(F.col("host")), declared=F.col("declared"), markup=True,
+    ).select("page_id", "lang_id", "probability", "accepted", "text_lang", "n_letter_words",
+             "host", "declared")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -82,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_chat_format": op4_chat_format,
         "op5_ngram_jaccard": op5_ngram_jaccard,
+        "op6_language_id": op6_language_id,
         "op7_quality": op7_quality,
         "op8_embedding_join": op8_embedding_join,
         "op9_packing": op9_packing,
