@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,3 +33,12 @@ def held_out(doc_id: Column) -> Column:
 def plain_sql(text: str) -> str:
     """A Python string as a SQL literal."""
     return "'" + text.replace("'", "''") + "'"
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of tables that have been written and are used no more.
+
+    It does so when the driver collects garbage, which a driver with little to do puts off.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
