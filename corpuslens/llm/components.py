@@ -1,8 +1,8 @@
 """Connected components of a table of links, by repeated contraction.
 
 Every round points each node to the smallest of itself and its neighbours, follows these pointers
-``1 + JUMPS`` doublings far, and rewrites the links by where they lead, until no link joins two
-different nodes. A chain of n nodes takes about log(n) / (JUMPS log 2) rounds. Rows move by ``groupBy`` with partial sums and by
+to their ends by doubling, and rewrites the links by where they lead, until no link joins two
+different nodes. Pointers always go to smaller nodes, so they end; a chain of n takes log2(n) steps. Rows move by ``groupBy`` with partial sums and by
 joins on nodes; each round's tables are written to the checkpoint folder, so the plan stays short
 and a lost executor costs no earlier round. Nothing is collected; the driver asks only whether
 links are left.
@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 from corpuslens.operators.bounded import checkpointed
 
 
-JUMPS = 3
-
-
 def _links(links: DataFrame) -> DataFrame:
     return (links.filter(F.col("a") != F.col("b"))
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -33,12 +30,16 @@ def components(links: DataFrame) -> DataFrame:
         both = left.union(left.select("b", "a"))
         parents = checkpointed(both.groupBy(F.col("a").alias("child"))
                                .agg(F.least(F.min("b"), F.first("a")).alias("parent")))
-        for _ in range(JUMPS):
+        moving = True
+        while moving:
             further = parents.select(F.col("child").alias("parent"),
                                      F.col("parent").alias("further"))
-            parents = parents.join(further, "parent").select(
-                "child", F.col("further").alias("parent"))
-        parents = checkpointed(parents)
+            step = checkpointed(parents.select("child", "parent").join(further, "parent").select(
+                "child", F.col("further").alias("parent"),
+                (F.col("further") != F.col("parent")).alias("moved")))
+            moving = not step.filter("moved").isEmpty()
+            parents = step
+        parents = parents.select("child", "parent")
         if labels is None:
             labels = parents.select(F.col("child").alias("node"), F.col("parent").alias("label"))
         else:
