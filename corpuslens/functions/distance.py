@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 
 def _code_points(values: pd.Series, width: int, pad: int) -> np.ndarray:
     out = np.full((len(values), width), pad, dtype=np.int32)
-    for row, value in enumerate(values):
-        out[row, :len(value)] = [ord(c) for c in value]
+    lengths = values.str.len().to_numpy()
+    out[np.arange(width) < lengths[:, None]] = np.frombuffer(
+        "".join(values).encode("utf-32-le"), np.int32)
     return out
 
 

@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A table up to this many rows (short ones: ids, terms, numbers) counts as small.
 SMALL_ROWS = 200_000
@@ -42,6 +43,8 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if named is None and not context.master.split("[")[0] == "local":
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpuslens-"))
     return named or context.getCheckpointDir()
 
@@ -55,14 +58,11 @@ def _either(tests: list[Column]) -> Column:
 
 
 def any_of(column: str, values: list) -> Column:
-    """``column IN values``; up to a thousand values as short lists, which Parquet tests exactly.
-
-    Numbers may be more: as one list they still choose the buckets to be read.
-    """
+    """``column IN values`` as short lists, which Parquet tests exactly."""
     ordered = sorted(set(values))
     if not ordered:
         return F.lit(False)
-    size = IN_LIST if len(ordered) <= SPELLED_VALUES else len(ordered)
+    size = IN_LIST
     parts = [ordered[i:i + size] for i in range(0, len(ordered), size)]
     literals = [repr(v) if isinstance(v, int) else f"'{v}'" for v in ordered]
     if any(isinstance(v, str) and ("'" in v or "\\" in v) for v in ordered):
@@ -72,10 +72,13 @@ def any_of(column: str, values: list) -> Column:
 
 
 def among(table: DataFrame, column: str, rows: list[dict] | None) -> DataFrame:
-    """Filter a table by a column's values in ``rows``, where these can be spelled out."""
+    """Filter a table by a column's values in ``rows``: spelled out if few, else joined."""
     if rows is None:
         return table
     values = {row[column] for row in rows}
-    if len(values) > SPELLED_VALUES and not all(isinstance(v, int) for v in values):
-        return table
+    if len(values) > SPELLED_VALUES:
+        wanted = table.sparkSession.createDataFrame(
+            [(v,) for v in values if v is not None],
+            T.StructType([T.StructField(column, table.schema[column].dataType)]))
+        return table.join(F.broadcast(wanted), column, "left_semi")
     return table.filter(any_of(column, list(values)))

@@ -27,7 +27,9 @@ def version_path(root: str, version: int, part: str | None = None) -> str:
 def manifest(spark: SparkSession, root: str) -> DataFrame | None:
     try:
         return spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 

@@ -94,12 +94,13 @@ def build_index(docs: DataFrame) -> Index:
     return Index(documents, (entries,), vocabulary(entries), co_located=True)
 
 
-def _table_name(location: str) -> str:
-    return "corpuslens_" + hashlib.md5(location.encode()).hexdigest()
+def _table_name(location: str, buckets: int, part: str) -> str:
+    """A catalogue entry left by another layout of the same place has another name."""
+    return "corpuslens_" + hashlib.md5(f"{part} {buckets} {location}".encode()).hexdigest()
 
 
 def _write_bucketed(df: DataFrame, location: str, buckets: int, part: str) -> DataFrame:
-    name = _table_name(location)
+    name = _table_name(location, buckets, part)
     (df.write.format("parquet").mode("overwrite").option("path", location)
      .bucketBy(buckets, "doc_id").sortBy(*SORTED_BY[part]).saveAsTable(name))
     return df.sparkSession.table(name)
@@ -107,7 +108,8 @@ def _write_bucketed(df: DataFrame, location: str, buckets: int, part: str) -> Da
 
 def _read_bucketed(spark: SparkSession, location: str, buckets: int, part: str,
                    columns: str) -> DataFrame:
-    name = _table_name(location)
+    name = _table_name(location, buckets, part)
+    location = location.replace("\\", "\\\\").replace("'", "\\'")
     spark.sql(f"""
         CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet LOCATION '{location}'
         CLUSTERED BY (doc_id) SORTED BY ({', '.join(SORTED_BY[part])}) INTO {buckets} BUCKETS""")

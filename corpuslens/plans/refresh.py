@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.operators.bounded import checkpointed
+from corpuslens.operators.bounded import checkpointed, hinted, settle
 from corpuslens.operators.filters import indexable_metadata, is_binary
 from corpuslens.operators.postings import latest_per_path, postings, vocabulary
 from corpuslens.operators.versions import chain, latest, publish, version_path
@@ -137,9 +137,11 @@ def refresh_saved(spark: SparkSession, root: str, files: DataFrame, read: Reader
     """Refresh the index under ``root`` by a new layer: ``(index, stats)``.
 
     The layer holds the new documents, their postings, the ids that go and the change in the
-    vocabulary; the earlier layers are not rewritten. ``compact`` folds them into one.
+    vocabulary; the earlier layers are not rewritten. ``compact`` folds them into one. Where
+    nothing is due there is no new layer. Of several files of one path the newest counts.
     """
     entry = latest(spark, root)
+    files = one_per_path(files)
     admitted = indexable_metadata(allowed, max_bytes)
     if entry is None:
         classes = checkpointed(classify(files, build_empty(spark), admitted))
@@ -149,6 +151,8 @@ def refresh_saved(spark: SparkSession, root: str, files: DataFrame, read: Reader
     version = entry["version"] + 1
     # One listing decides; the texts are read after it.
     classes = checkpointed(classify(files, prev.docs, admitted))
+    if not prune and classes.filter(F.col("change_class").isin("new", "changed")).isEmpty():
+        return prev, index_counters(classes, build_empty(spark))
     buckets = layer_buckets(spark, root, entry, classes)
     saved, entries = write_layer(spark, root, version, buckets, _indexed(classes, files, read))
     written = classes.join(saved.select("path"), "path", "left_semi")
@@ -183,6 +187,21 @@ def refuse_reused_ids(staying: DataFrame, new: DataFrame) -> None:
         raise ValueError(f"doc_id {taken[0]['doc_id']} belongs to more than one document")
 
 
+def one_per_path(files: DataFrame) -> DataFrame:
+    """The newest version of each path, found on metadata; texts are not shuffled for it."""
+    if "doc_id" not in files.columns:
+        return files  # a listing names each path once
+    versions = files.select("path", "mtime_us", "doc_id")
+    several = versions.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1").select("path")
+    few, rows = settle(several)
+    if rows is not None and not rows:
+        return files
+    doubled = versions.join(hinted(few, rows), "path", "left_semi")
+    old, old_rows = settle(doubled.join(
+        latest_per_path(doubled).select("doc_id"), "doc_id", "left_anti").select("doc_id"))
+    return files.join(hinted(old, old_rows), "doc_id", "left_anti").select(*files.columns)
+
+
 def build_empty(spark: SparkSession) -> DataFrame:
     """A documents table without rows, for a first refresh."""
     return spark.createDataFrame([], DOCS)
@@ -195,5 +214,5 @@ def compact(spark: SparkSession, root: str) -> Index:
     return save_index(spark, open_index(spark, root).docs, root, buckets)
 
 
-__all__ = ["Refreshed", "classify", "compact", "index_counters", "latest_per_path",
+__all__ = ["Refreshed", "classify", "compact", "index_counters", "one_per_path",
            "refresh_index", "refresh_saved", "unchanged", "upsert"]

@@ -349,7 +349,7 @@ def oracle_sql() -> dict[str, str]:
         "P14_preview": "SELECT doc_id, CASE WHEN length(text) > 2000 THEN "
                        "substring(text, 1, 2000) || '...(truncated)' ELSE text END AS preview "
                        "FROM documents",
-        "P15_escape": "SELECT doc_id, '<>' || substring(text, 41) AS rest FROM documents",
+        "P15_escape": "SELECT doc_id, '<>' || '|rest' AS rest FROM documents",
         "P16_labels": _files("SELECT path, '' AS snippet, 'scan' AS source FROM files "
                              "WHERE contains(text, 'The')"),
         # Joins

@@ -123,7 +123,7 @@ def tree(spark: SparkSession, sf: str) -> str:
 
 def _below(entries: DataFrame, root: str) -> DataFrame:
     """Paths without the root."""
-    return entries.withColumn("path", F.substring("path", len(root) + 1, 1_000_000))
+    return entries.withColumn("path", F.substr("path", F.lit(len(root) + 1)))
 
 
 def _catalogue(spark: SparkSession, sf: str, rebuilds: int = 1) -> DataFrame:
@@ -232,9 +232,10 @@ def _fuzzy_words(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _escaped(spark: SparkSession, sf: str) -> DataFrame:
-    head = F.concat(F.lit("^"), escape_regex(F.substring("text", 1, 40)))
-    return documents(spark, sf).select(
-        "doc_id", F.regexp_replace("text", head, F.lit("<>")).alias("rest"))
+    """Each whole text, taken as a pattern, matches itself."""
+    whole = F.concat(F.lit("^"), escape_regex(F.col("text")))
+    return documents(spark, sf).select("doc_id", F.regexp_replace(
+        F.concat("text", F.lit("|rest")), whole, F.lit("<>")).alias("rest"))
 
 
 def _refresh_classes(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""File trees: a listing data source, and the read of file contents inside tasks.
+"""File trees: a listing by levels, and the read of file contents inside tasks.
 
 Spark's own file sources leave out hidden, ``_``-prefixed and empty files and have no rows for
 directories; a catalogue needs them all. The file system must be one every executor sees. Where
@@ -10,23 +10,23 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpuslens.functions.text import file_text
+from corpuslens.operators.bounded import checkpointed
 from corpuslens.schema import CATALOGUE
 
 # A listing row of a directory that could not be opened says so here; null for all others.
 LISTING = T.StructType([*CATALOGUE.fields, T.StructField("listing_error", T.StringType())])
-SUBTREES = 256
-# Directories are opened ahead until there are so many per task, so that one large subtree is
-# likely to be cut into many.
-DIRECTORIES_PER_TASK = 8
+PENDING = T.StructField("pending", T.BooleanType())
+LISTED_ROWS = 10_000
 READ_BATCH_BYTES = 32 * 1024 * 1024
 READ_BATCH_FILES = 1000
 
@@ -88,70 +88,56 @@ def _directory_row(path: str, error: str | None) -> Iterator[tuple]:
         yield (path, os.path.basename(path), None, None, None, None, True, error or "not found")
 
 
-class Subtrees(InputPartition):
-    """Some directories, with everything below them if ``deep``."""
-
-    def __init__(self, directories: list[str], deep: bool) -> None:
-        self.directories, self.deep = directories, deep
-
-
-class TreeReader(DataSourceReader):
-    def __init__(self, root: str, subtrees: int) -> None:
-        self.root, self.subtrees = root, subtrees
-
-    def partitions(self) -> list[InputPartition]:
-        """Open directories level by level until there are enough subtrees to share out evenly."""
-        shallow: list[str] = []
-        frontier = [self.root]
-        while frontier and len(frontier) < self.subtrees * DIRECTORIES_PER_TASK:
-            below: list[str] = []
-            for directory in frontier:
-                try:
-                    with os.scandir(directory) as entries:
-                        below += [e.path for e in entries if e.is_dir(follow_symlinks=False)]
-                except OSError:
-                    pass
-                shallow.append(directory)
-            frontier = below
-        return [
-            Subtrees(directories[i::self.subtrees], deep)
-            for directories, deep in ((shallow, False), (frontier, True))
-            for i in range(min(len(directories), self.subtrees))
-        ]
-
-    def read(self, partition: Subtrees) -> Iterator[tuple]:
-        pending = list(partition.directories)
-        while pending:
-            directory = pending.pop()
-            folders, files, error = _listed(directory)
-            if directory != self.root:
-                yield from _directory_row(directory, error)
-            yield from files
-            if partition.deep:
-                pending += folders
-
-
-class TreeSource(DataSource):
-    """``spark.read.format("file_tree").load(root)``: one row per file and directory below root."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "file_tree"
-
-    def schema(self) -> T.StructType:
-        return LISTING
-
-    def reader(self, schema: T.StructType) -> TreeReader:
-        root = os.path.abspath(self.options["path"])
-        return TreeReader(root, int(self.options.get("subtrees", SUBTREES)))
-
-
-def list_tree(spark: SparkSession, root: str, subtrees: int = SUBTREES) -> DataFrame:
-    """Every file and directory below ``root`` (itself left out), with ``listing_error``."""
+def _level(root: str):
+    """Lists a batch of directories: their own rows, their files, and directories still to list."""
+    names = [*LISTING.names, "pending"]
+    types = to_arrow_schema(T.StructType([*LISTING.fields, PENDING]))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for directory in batch.column(0).to_pylist():
+                folders, files, error = _listed(directory)
+                for row in files:
+                    held.append((*row, False))
+                    if len(held) >= LISTED_ROWS:
+                        yield _record_batch(held, names, types)
+                        held = []
+                if directory != root:
+                    held += [(*row, False) for row in _directory_row(directory, error)]
+                held += [(folder, "", None, None, None, None, True, None, True)
+                         for folder in folders]
+        yield _record_batch(held, names, types)
+    return rows
+
+
+def _record_batch(rows: list[tuple], names: list[str], types: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, f.type) for c, f in zip(columns, types)], names=names)
+
+
+def list_tree(spark: SparkSession, root: str, tasks: int | None = None) -> DataFrame:
+    """Every file and directory below ``root`` (itself left out), with ``listing_error``.
+
+    One job for each level of the tree: tasks list the directories of a level, spread evenly, and
+    the sub-directories that they find are the next level. The driver only asks whether there is
+    a next one.
+    """
     if not os.path.isdir(root):
         raise ValueError(f"not a directory: {root}")
-    spark.dataSource.register(TreeSource)
-    return spark.read.format("file_tree").option("subtrees", subtrees).load(root)
+    root = os.path.abspath(root)
+    tasks = tasks or max(spark.sparkContext.defaultParallelism,
+                         int(spark.conf.get("spark.sql.shuffle.partitions")))
+    schema = T.StructType([*LISTING.fields, PENDING])
+    frontier = spark.createDataFrame([(root,)], "path string")
+    levels: list[DataFrame] = []
+    while True:
+        listed = checkpointed(frontier.repartition(tasks).mapInArrow(_level(root), schema))
+        levels.append(listed.filter(~F.col("pending")).select(*LISTING.names))
+        frontier = listed.filter("pending").select("path")
+        if frontier.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
 
 
 def files_of(listing: DataFrame) -> DataFrame:
