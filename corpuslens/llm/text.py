@@ -39,10 +39,8 @@ def plain_sql(text: str) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of tables that have been written and are used no more.
-
-    It does so when the driver collects garbage, which a driver with little to do puts off.
-    """
+    """Let Spark delete shuffle files of tables that have been written and are used no more, and
+    forget their plans. It does so when the driver collects garbage, which it puts off."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
