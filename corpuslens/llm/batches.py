@@ -44,13 +44,14 @@ def numbered(texts: list[str], kept: Kept) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), starts
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Parts of a batch with their texts (null: empty), each of about ``BATCH_CHARS``."""
+def slices(batch: pa.RecordBatch, column: str, chars: int = BATCH_CHARS,
+           ) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of a batch with their texts (null: empty), each of about ``chars``."""
     texts = [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
     start = held = 0
     for i, text in enumerate(texts):
         held += len(text)
-        if held >= BATCH_CHARS or i == len(texts) - 1:
+        if held >= chars or i == len(texts) - 1:
             yield batch.slice(start, i + 1 - start), texts[start:i + 1]
             start, held = i + 1, 0
 

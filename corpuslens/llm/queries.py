@@ -38,7 +38,7 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     good, rows = settle(table(spark, sf_dir, "labels").filter("quality = 1")
                         .select("doc_id").distinct().withColumn("good", F.lit(True)))
     flagged = docs.join(hinted(good, rows), "doc_id", "left")
-    return lm.score(docs, *lm.train(flagged, F.col("good"))).drop("text")
+    return lm.score_within(flagged, F.col("good")).select("doc_id", *lm.ADDED)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -291,3 +291,34 @@ def test_lm_scores_equal_a_plain_count(spark):
         assert found[doc_id]["entropy_difference"] == pytest.approx(target - background, abs=1e-3)
     assert found[20]["entropy_difference"] is None and found[21]["n_tokens"] == 0
     assert lm.score(docs.limit(0), *models).count() == 0
+
+
+def test_language_model_counts_each_word_for_itself(spark):
+    """The words ``shared`` have the low 16 bits of their checksum in common with ``the``."""
+    shared = [w for w in (f"x{i}" for i in range(400_000))
+              if zlib.crc32(w.encode()) & 0xFFFF == zlib.crc32(b"the") & 0xFFFF][:3]
+    rows = [(i, "the " * 50, True) for i in range(30)] + [(100 + i, "far off " * 20, False)
+                                                        for i in range(30)]
+    rows += [(200, " ".join(shared), False), (201, "the the", True)]
+    docs = spark.createDataFrame(rows, DOCS + ", good boolean")
+    found = {r["doc_id"]: r for r in lm.score_within(docs, F.col("good")).collect()}
+    assert len(shared) == 3 and len(found) == len(rows)
+    # A word of its own stands once in the background and never in the target.
+    assert found[200]["target_entropy"] > found[201]["target_entropy"] + 3
+    assert found[200]["entropy_difference"] > 0 > found[201]["entropy_difference"]
+    apart = {r["doc_id"]: r for r in lm.score(docs, *lm.train(docs, F.col("good"))).collect()}
+    for doc_id, row in found.items():
+        assert row["target_entropy"] == pytest.approx(apart[doc_id]["target_entropy"])
+        assert row["background_entropy"] == pytest.approx(apart[doc_id]["background_entropy"])
+
+
+def test_language_model_gathers_with_the_input(spark):
+    def keys(n):
+        docs = spark.createDataFrame([(i, " ".join(words(500, i, 10 ** 9))) for i in range(n)],
+                                     DOCS)
+        counts, totals = lm.train(docs, F.lit(False))
+        return sum(lm._length(r["pairs"]) for r in counts.select("pairs").collect()), totals
+
+    (few, _), (many, totals) = keys(50), keys(400)
+    assert few == 50 * 500 and many == 400 * 500
+    assert totals.vocabulary == len({w for i in range(400) for w in words(500, i, 10 ** 9)})
