@@ -14,7 +14,9 @@ say toxic or not; a toxic document's grade comes from how often such words occur
 fixed counts.
 
 Fitting uses at most ``SAMPLE`` labelled documents taken by a hash of their ids, up to
-half of them toxic; word numbers are all the driver sees of them. Scoring is one pass without a shuffle; the weights have
+half of them toxic; word numbers are all the driver sees of them. Where a class has more documents
+than are taken of it, each one taken stands for several: weights, from a count of all labels, bring
+the classes back to their natural shares in the choice of words, the weights and the thresholds. Scoring is one pass without a shuffle; the weights have
 a fixed size and are broadcast.
 
 Defined cases: a null text counts as empty and gets the severity of a text without such words;
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslens.llm.batches import Kept, numbered, per_row, rows_of, slices
-from corpuslens.llm.samples import labelled_sample
+from corpuslens.llm.samples import class_counts, labelled_sample
 
 SAMPLE = 20_000
 BITS = 20
@@ -80,15 +82,23 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(margins[:, None] - self.thresholds, -30, 30)))
 
 
+def row_weights(toxic: np.ndarray, stands_for: tuple[float, float]) -> np.ndarray:
+    """Each row's weight, 1 on average, so that the classes have their natural shares."""
+    weights = np.where(toxic == 1, stands_for[1], stands_for[0])
+    return weights * (len(weights) / max(weights.sum(), 1e-9))
+
+
 def telling_words(rows: np.ndarray, words: np.ndarray, before: np.ndarray,
-                  toxic: np.ndarray) -> np.ndarray:
-    """Bins of words that speak for toxicity."""
+                  toxic: np.ndarray, stands_for: tuple[float, float] = (1.0, 1.0)) -> np.ndarray:
+    """Bins of words that speak for toxicity; ``stands_for``: labelled documents to each clean and
+    each toxic one that was taken. Evidence is that of as many documents as were taken."""
     if not len(words):
         return np.zeros(0, np.int64)
     keys = np.unique(np.stack([rows, words], axis=1), axis=0)
-    in_toxic = np.bincount(keys[:, 1], toxic[keys[:, 0]], SIZE)
-    in_clean = np.bincount(keys[:, 1], 1 - toxic[keys[:, 0]], SIZE)
-    rate = toxic.sum() / len(toxic)
+    weights = row_weights(toxic, stands_for)
+    in_toxic = np.bincount(keys[:, 1], (toxic * weights)[keys[:, 0]], SIZE)
+    in_clean = np.bincount(keys[:, 1], ((1 - toxic) * weights)[keys[:, 0]], SIZE)
+    rate = (toxic * weights).sum() / len(toxic)
     seen = in_toxic + in_clean
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = 2 * (np.where(in_toxic > 0, in_toxic * np.log(in_toxic / (seen * rate)), 0)
@@ -101,10 +111,12 @@ def telling_words(rows: np.ndarray, words: np.ndarray, before: np.ndarray,
 
 
 def fit(rows: np.ndarray, words: np.ndarray, before: np.ndarray, toxic: np.ndarray,
-        steps: int = 400, rate: float = 0.2, decay: float = 1e-5) -> Ordinal:
+        steps: int = 400, rate: float = 0.2, decay: float = 1e-5,
+        stands_for: tuple[float, float] = (1.0, 1.0)) -> Ordinal:
     """Gradient descent (Adam) on the cumulative-link likelihood; thresholds are kept apart."""
     n = len(toxic)
-    chosen = telling_words(rows, words, before, toxic)
+    chosen = telling_words(rows, words, before, toxic, stands_for)
+    weights = row_weights(toxic, stands_for)
     slot = np.full(SIZE, -1, np.int32)
     slot[chosen] = np.arange(len(chosen))
     told = slot[words] >= 0 if len(words) else np.zeros(0, bool)
@@ -143,6 +155,7 @@ def fit(rows: np.ndarray, words: np.ndarray, before: np.ndarray, toxic: np.ndarr
         g_link[at[inside], grade[inside] - 1] -= slope[at[inside], grade[inside] - 1] / p[inside]
         inside = grade < links
         g_link[at[inside], grade[inside]] += slope[at[inside], grade[inside]] / p[inside]
+        g_link *= weights[:, None]
         g_margin, g_threshold = g_link.sum(axis=1), -g_link.sum(axis=0) * share
         g_weights = (np.bincount(s, g_margin[r] * x, len(chosen)) * share + decay * model.weights
                      if len(chosen) else np.zeros(0))
@@ -179,7 +192,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     before[1:] = words[:-1]
     before[starts[:-1][starts[:-1] < len(before)]] = -1
     toxic = (found.column("label").to_numpy() > 0).astype(float)
-    return fit(rows_of(starts), words, before, toxic)
+    n_toxic, n_clean = class_counts(labels, "toxic")
+    return fit(rows_of(starts), words, before, toxic, stands_for=(
+        max(1.0, n_clean / max(1, sample // 2)), max(1.0, n_toxic / max(1, sample // 2))))
 
 
 def grade_documents(docs: DataFrame, model: Ordinal) -> DataFrame:

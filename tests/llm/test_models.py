@@ -204,3 +204,26 @@ def test_pipeline_keeps_one_of_each_group(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF).collect()
     assert sorted(r["doc_id"] or 0 for r in kept) == [0, 1, 4]
+
+
+def test_toxicity_keeps_natural_shares_where_the_sample_is_even(spark):
+    """``edgy`` stands in a fifth as many toxic documents as clean ones: it must not tell."""
+    rng = random.Random(5)
+    rows, marks = [], []
+    for i in range(4000):
+        toxic = i % 20 == 0
+        text = [f"w{rng.randrange(300)}" for _ in range(40)]
+        if toxic:
+            text[rng.randrange(40)] = "vile"
+        if rng.random() < (0.9 if toxic else 0.22):
+            text[rng.randrange(40)] = "edgy"
+        rows.append((i, " ".join(text)))
+        marks.append((i, int(toxic)))
+    texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    known = spark.createDataFrame(marks, "doc_id long, toxic int")
+    edgy, vile = (toxicity.word_bin(w) for w in ("edgy", "vile"))
+    for sample in (8000, 320):  # all labels, and an even sample
+        model = toxicity.train(texts, known, sample)
+        assert model.slot[vile] >= 0 > model.slot[edgy]
+        said = {r["doc_id"]: r["toxic"] for r in toxicity.grade_documents(texts, model).collect()}
+        assert np.mean([said[i] for i, _ in rows if i % 20]) < 0.01
