@@ -17,6 +17,7 @@ from corpuslens.llm import (
     lm,
     packing,
     quality,
+    token_files,
     toxicity,
 )
 from corpuslens.llm.text import held_out, table
@@ -98,6 +99,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read_ids(token_files.write_ids(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -110,4 +115,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_join": op8_embedding_join,
         "op9_packing": op9_packing,
         "op10_decontamination": op10_decontamination,
+        "op11_token_files": op11_token_files,
     }
