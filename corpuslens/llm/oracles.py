@@ -12,6 +12,9 @@ from corpuslens.llm.text import plain_sql
 # The word pattern of the contract of op10.
 DECONTAMINATION_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+# The term pattern of the contract of op12.
+SEARCH_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 
 def _op1() -> str:
     known = ", ".join(f"({plain_sql(name)}, {plain_sql(text)})" for name, text in LICENCES)
@@ -98,6 +101,34 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
 
+def _op12(k: int = 10) -> str:
+    def terms(table: str, key: str) -> str:
+        low = (f"translate(coalesce(text, ''), '{string.ascii_uppercase}', "
+               f"'{string.ascii_lowercase}')")
+        return (f"SELECT {key}, unnest(regexp_extract_all({low}, {plain_sql(SEARCH_TERM)})) "
+                f"AS term FROM {table}")
+
+    return f"""
+WITH held AS ({terms('documents', 'doc_id')}),
+counted AS (SELECT doc_id, term, count(*) AS tf FROM held GROUP BY ALL),
+sizes AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM counted GROUP BY doc_id),
+whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+lengths AS (SELECT doc_id, 100 - 90 + (90 * n * docs) // terms AS m FROM sizes, whole),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM counted, whole GROUP BY term),
+wanted AS (SELECT DISTINCT item_id, term FROM ({terms('benchmark', 'item_id')})),
+scored AS (
+  SELECT item_id, doc_id,
+         CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM wanted JOIN weights USING (term) JOIN counted USING (term) JOIN lengths USING (doc_id)
+  GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER best AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0
+WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id)
+QUALIFY row_number() OVER best <= {k}"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_license_scan": _op1(), "op4_chat_format": _op4(),
-            "op10_decontamination": _op10()}
+            "op10_decontamination": _op10(), "op12_lexical_search": _op12()}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpuslens.llm import (
     chat,
     decontaminate,
+    dual_tree,
     embedding,
     jaccard,
     language,
@@ -103,6 +104,11 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_ids(token_files.write_ids(table(spark, sf_dir, "documents")))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.rank_documents(table(spark, sf_dir, "documents"),
+                                    table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -116,4 +122,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": op9_packing,
         "op10_decontamination": op10_decontamination,
         "op11_token_files": op11_token_files,
+        "op12_lexical_search": op12_lexical_search,
     }
