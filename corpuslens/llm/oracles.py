@@ -129,6 +129,44 @@ WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id)
 QUALIFY row_number() OVER best <= {k}"""
 
 
+def _op13(threshold: int = 100, top: int = 2000) -> str:
+    low = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    return f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array({low}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+held AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+placed AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM held),
+counted AS (
+  SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, count(*) AS f
+  FROM placed, (VALUES (1), (2), (3), (4), (5)) lengths(k) WHERE i + k - 1 <= len(w)
+  GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counted WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT * FROM counted WHERE k > 1 AND f >= {threshold}),
+cuts AS (
+  SELECT lang, k, phrase, f AS a, unnest(generate_series(1, k - 1)) AS cut,
+         string_split(phrase, ' ') AS w FROM candidates),
+scored AS (
+  SELECT c.lang, c.k, c.phrase, a, cut, one.f AS l, two.f AS r, n,
+         CAST((1000::HUGEINT * a * n) // (one.f::HUGEINT * two.f) AS BIGINT) AS score
+  FROM cuts c JOIN totals USING (lang)
+  JOIN counted one ON one.lang = c.lang AND one.k = cut
+    AND one.phrase = array_to_string(list_slice(w, 1, cut), ' ')
+  JOIN counted two ON two.lang = c.lang AND two.k = c.k - cut
+    AND two.phrase = array_to_string(list_slice(w, cut + 1, c.k), ' ')),
+best AS (
+  SELECT * FROM scored
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM candidates c WHERE c.lang = b.lang AND c.k > b.k AND 100 * c.f >= 100 * b.a
+    AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, n, score FROM kept
+WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+QUALIFY row_number() OVER w <= {top}"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_license_scan": _op1(), "op4_chat_format": _op4(),
-            "op10_decontamination": _op10(), "op12_lexical_search": _op12()}
+            "op10_decontamination": _op10(), "op12_lexical_search": _op12(),
+            "op13_collocations": _op13()}

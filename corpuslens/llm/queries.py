@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.llm import (
     chat,
+    collocations,
     decontaminate,
     dual_tree,
     embedding,
@@ -109,6 +110,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     table(spark, sf_dir, "benchmark"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -123,4 +128,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_decontamination": op10_decontamination,
         "op11_token_files": op11_token_files,
         "op12_lexical_search": op12_lexical_search,
+        "op13_collocations": op13_collocations,
     }
