@@ -6,7 +6,6 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # A table up to this many rows (short ones: ids, terms, numbers) counts as small.
 SMALL_ROWS = 200_000
@@ -72,13 +71,9 @@ def any_of(column: str, values: list) -> Column:
 
 
 def among(table: DataFrame, column: str, rows: list[dict] | None) -> DataFrame:
-    """Filter a table by a column's values in ``rows``: spelled out if few, else joined."""
+    """A table on its way to a join on ``column`` with ``rows``: a few values are spelled out, so
+    that Parquet skips what has none of them; more are left to the join."""
     if rows is None:
         return table
     values = {row[column] for row in rows}
-    if len(values) > SPELLED_VALUES:
-        wanted = table.sparkSession.createDataFrame(
-            [(v,) for v in values if v is not None],
-            T.StructType([T.StructField(column, table.schema[column].dataType)]))
-        return table.join(F.broadcast(wanted), column, "left_semi")
-    return table.filter(any_of(column, list(values)))
+    return table if len(values) > SPELLED_VALUES else table.filter(any_of(column, list(values)))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import case_tokens, kept, lowered, postings_of_doc
+from corpuslens.operators.bounded import hinted, settle
 from corpuslens.schema import FIELD, FIELD_CASE
 
 
@@ -59,8 +60,23 @@ def document_lengths(docs: DataFrame) -> DataFrame:
 
 
 def latest_per_path(docs: DataFrame) -> DataFrame:
-    """One version per path: the newest, then the highest id. The window keeps one row per path
-    and task before it shuffles."""
-    newest = W.partitionBy("path").orderBy(F.desc("mtime_us"), F.desc("doc_id"))
+    """One version per path: the newest, then the highest id (without ids, the highest hash of
+    the text). The window keeps one row per path and task before it shuffles."""
+    tie = ("doc_id" if "doc_id" in docs.columns else
+           F.xxhash64("text") if "text" in docs.columns else F.lit(0))
+    newest = W.partitionBy("path").orderBy(F.desc("mtime_us"), F.desc(tie))
     return (docs.withColumn("_row", F.row_number().over(newest))
             .filter(F.col("_row") == 1).drop("_row"))
+
+
+def one_per_path(docs: DataFrame) -> DataFrame:
+    """The newest version of each path. Paths are counted first; only rows of those that come
+    several times are shuffled with what they hold."""
+    several, rows = settle(docs.groupBy("path").agg(F.count("*").alias("n"))
+                           .filter("n > 1").select("path"))
+    if rows is not None and not rows:
+        return docs
+    several = hinted(several, rows)
+    once = docs.join(several, "path", "left_anti").select(*docs.columns)
+    doubled = docs.join(several, "path", "left_semi").select(*docs.columns)
+    return once.unionByName(latest_per_path(doubled))

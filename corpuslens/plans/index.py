@@ -10,6 +10,7 @@ the postings, which are larger.
 from __future__ import annotations
 
 import hashlib
+import math
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -18,19 +19,22 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions.paths import document_id
 from corpuslens.operators.bounded import SMALL_ROWS
-from corpuslens.operators.postings import postings, vocabulary
+from corpuslens.operators.postings import one_per_path, postings, vocabulary
 from corpuslens.operators.versions import chain, latest, publish, version_path
 
 DOCS = "doc_id bigint, path string, text string, mtime_us bigint"
 POSTINGS = ("field string, term string, doc_id bigint, tf int, positions array<int>, "
             "doc_len int")
 VOCAB = "field string, term string, df bigint, cf bigint"
-REMOVED = "doc_id bigint"
+REMOVED = "doc_id bigint, layer int"
 SORTED_BY = {
     "docs": ("doc_id",),
     "postings": ("field", "term", "doc_id"),
-    "removed": ("doc_id",),
 }
+# A bucket of so much text has about 1 GB of postings; below that, enough buckets to keep the
+# session's tasks busy, but none for less text than the second figure.
+TEXT_PER_BUCKET = 256 << 20
+LEAST_TEXT_PER_BUCKET = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -88,8 +92,9 @@ def spread(docs: DataFrame) -> DataFrame:
 
 
 def build_index(docs: DataFrame) -> Index:
-    """The index of ``(doc_id, path, text, mtime_us)``, lazily; one row per path is expected."""
-    documents = spread(as_documents(docs))
+    """The index of ``(doc_id, path, text, mtime_us)``, lazily; of several rows of one path the
+    newest counts."""
+    documents = spread(as_documents(one_per_path(docs)))
     entries = postings(documents)
     return Index(documents, (entries,), vocabulary(entries), co_located=True)
 
@@ -141,17 +146,29 @@ def write_layer(spark: SparkSession, root: str, version: int, buckets: int,
     return saved, entries
 
 
+def bucket_count(spark: SparkSession, size: int) -> int:
+    """Buckets for so many bytes of text."""
+    busy = min(spark.sparkContext.defaultParallelism, math.ceil(size / LEAST_TEXT_PER_BUCKET))
+    return max(1, busy, math.ceil(size / TEXT_PER_BUCKET))
+
+
+def text_size(docs: DataFrame) -> int:
+    """Bytes of text, from the files' sizes where these are known."""
+    size = F.col("size") if "size" in docs.columns else F.octet_length("text")
+    return docs.agg(F.sum(size.cast("long")).alias("n")).first()["n"] or 0
+
+
 def save_index(spark: SparkSession, docs: DataFrame, root: str,
                buckets: int | None = None) -> Index:
     """Build the index of ``docs`` under ``root`` as a new version without a past (a rebuild).
 
-    ``root`` must lie outside the corpus. About 1 GB of postings per bucket is a good size; the
-    default number of buckets is that of the session's shuffle partitions.
+    ``root`` must lie outside the corpus. Of several rows of one path the newest counts. The
+    number of buckets follows the bytes of text, unless it is given.
     """
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or bucket_count(spark, text_size(docs))
     entry = latest(spark, root)
     version = 1 if entry is None else entry["version"] + 1
-    saved, entries = write_layer(spark, root, version, buckets, docs)
+    saved, entries = write_layer(spark, root, version, buckets, one_per_path(docs))
     _write_vocab(vocabulary(entries), version_path(root, version, "vocab"))
     publish(spark, root, version=version, buckets=buckets, n_docs=saved.count(), n_removed=0)
     return open_index(spark, root)
@@ -161,26 +178,35 @@ def index_exists(spark: SparkSession, root: str | None) -> bool:
     return bool(root) and latest(spark, root) is not None
 
 
+def removals(spark: SparkSession, root: str, layers: list[dict]) -> DataFrame | None:
+    """``doc_id, layer``: the ids that went, each with the layer that removed it. All layers'
+    rows are one table; a refresh adds a file to it."""
+    paths = [version_path(root, layer["version"], "removed") for layer in layers[1:]]
+    return spark.read.schema(REMOVED).parquet(*paths) if paths else None
+
+
 def open_index(spark: SparkSession, root: str) -> Index:
     """The live version: its base and the layers that refreshes put on it."""
     entry = latest(spark, root)
     if entry is None:
         raise ValueError(f"no index at {root}")
     layers = chain(spark, root, entry)
-    small = (entry["n_removed"] or 0) <= SMALL_ROWS
-
-    def table(layer: dict, part: str, columns: str) -> DataFrame:
-        location = version_path(root, layer["version"], part)
-        return _read_bucketed(spark, location, layer["buckets"], part, columns)
+    gone = removals(spark, root, layers)
+    if gone is not None and (entry["n_removed"] or 0) <= SMALL_ROWS:
+        gone = F.broadcast(gone)
 
     def live(place: int, part: str, columns: str) -> DataFrame:
-        """A layer's rows without those removed since; a broadcast or a bucket-wise join."""
-        rows = table(layers[place], part, columns)
-        names = rows.columns
-        for later in layers[place + 1:]:
-            gone = table(later, "removed", REMOVED)
-            rows = rows.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
-        return rows.select(*names)
+        """A layer's rows without those that a later layer removed: one join, by broadcast or
+        with the ids shuffled to the layer's buckets."""
+        layer = layers[place]
+        location = version_path(root, layer["version"], part)
+        rows = _read_bucketed(spark, location, layer["buckets"], part, columns)
+        if place == len(layers) - 1:
+            return rows
+        left, right = rows.alias("rows_"), gone.alias("gone_")
+        later = (F.col("rows_.doc_id") == F.col("gone_.doc_id")) & (
+            F.col("gone_.layer") > layer["version"])
+        return left.join(right, later, "left_anti").select(*rows.columns)
 
     docs = reduce(DataFrame.unionByName, [live(i, "docs", DOCS) for i in range(len(layers))])
     postings_layers = tuple(live(i, "postings", POSTINGS) for i in range(len(layers)))

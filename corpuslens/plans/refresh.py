@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.operators.bounded import checkpointed, hinted, settle
+from corpuslens.operators.bounded import among, checkpointed, hinted, settle
 from corpuslens.operators.filters import indexable_metadata, is_binary
-from corpuslens.operators.postings import latest_per_path, postings, vocabulary
-from corpuslens.operators.versions import chain, latest, publish, version_path
+from corpuslens.operators.postings import one_per_path, postings, vocabulary
+from corpuslens.operators.versions import latest, publish, version_path
 from corpuslens.plans.index import (
     DOCS,
     Index,
-    _write_bucketed,
     _write_vocab,
     as_documents,
+    bucket_count,
     open_index,
     save_index,
     spread,
@@ -119,99 +118,85 @@ def refresh_index(prev: Index, files: DataFrame, read: Reader | None = None,
     new_docs = as_documents(indexed)
     removed = _removed(prev.docs, classes, indexed, prune)
     new_entries = postings(spread(new_docs))
-    old_entries = prev.postings.join(removed, "doc_id", "left_semi")
     vocab = (prev.vocab.unionByName(vocabulary(new_entries))
-             .unionByName(_negative(vocabulary(old_entries))))
+             .unionByName(removed_counts(prev, removed)))
     following = Index(upsert(prev.docs, new_docs, removed),
                       (upsert(prev.postings, new_entries, removed),), vocab, signed=True)
     return Refreshed(following, index_counters(classes, indexed), new_docs, removed)
 
 
-def _negative(vocab: DataFrame) -> DataFrame:
-    return vocab.withColumn("df", -F.col("df")).withColumn("cf", -F.col("cf"))
+def removed_counts(prev: Index, gone: DataFrame, rows: list[dict] | None = None) -> DataFrame:
+    """What the vocabulary loses with the documents ``gone``, as negative counts.
+
+    The stored text of a document says what its postings are, so only the texts of the documents
+    that go are cut into terms again, and no posting is read. A few ids (``rows``) prune the
+    texts to the buckets and pages that hold them; more meet them bucket by bucket.
+    """
+    docs = among(prev.docs.select("doc_id", "text"), "doc_id", rows)
+    counts = vocabulary(postings(docs.join(hinted(gone, rows), "doc_id", "left_semi")))
+    return counts.withColumns({"df": -F.col("df"), "cf": -F.col("cf")})
 
 
 def refresh_saved(spark: SparkSession, root: str, files: DataFrame, read: Reader | None = None,
                   allowed: Iterable[str] = DEFAULT_EXTENSIONS, max_bytes: int = MAX_FILE_BYTES,
-                  prune: bool = False) -> tuple[Index, DataFrame]:
+                  prune: bool = False, buckets: int | None = None) -> tuple[Index, DataFrame]:
     """Refresh the index under ``root`` by a new layer: ``(index, stats)``.
 
     The layer holds the new documents, their postings, the ids that go and the change in the
     vocabulary; the earlier layers are not rewritten. ``compact`` folds them into one. Where
-    nothing is due there is no new layer. Of several files of one path the newest counts.
+    nothing is due there is no new layer. Of several files of one path the newest counts. The
+    layer's buckets follow the bytes of the due files, unless ``buckets`` is given.
     """
     entry = latest(spark, root)
     files = one_per_path(files)
     admitted = indexable_metadata(allowed, max_bytes)
     if entry is None:
         classes = checkpointed(classify(files, build_empty(spark), admitted))
-        index = save_index(spark, _indexed(classes, files, read), root)
+        index = save_index(spark, _indexed(classes, files, read), root, buckets)
         return index, index_counters(classes, index.docs)
     prev = open_index(spark, root)
     version = entry["version"] + 1
     # One listing decides; the texts are read after it.
     classes = checkpointed(classify(files, prev.docs, admitted))
-    if not prune and classes.filter(F.col("change_class").isin("new", "changed")).isEmpty():
+    due = classes.filter(F.col("change_class").isin("new", "changed")).agg(
+        F.count("*").alias("files"), F.sum("size").alias("size")).first()
+    if not prune and not due["files"]:
         return prev, index_counters(classes, build_empty(spark))
-    buckets = layer_buckets(spark, root, entry, classes)
+    buckets = buckets or bucket_count(spark, due["size"] or 0)
     saved, entries = write_layer(spark, root, version, buckets, _indexed(classes, files, read))
     written = classes.join(saved.select("path"), "path", "left_semi")
-    gone = _write_bucketed(
-        _removed(prev.docs, classes, written, prune).repartition(buckets, "doc_id"),
-        version_path(root, version, "removed"), buckets, "removed")
-    refuse_reused_ids(prev.docs.join(gone, "doc_id", "left_anti"), saved)
-    old_entries = prev.postings.join(gone, "doc_id", "left_semi")
-    _write_vocab(vocabulary(entries).unionByName(_negative(vocabulary(old_entries))),
+    place = version_path(root, version, "removed")
+    (_removed(prev.docs, classes, written, prune).withColumn("layer", F.lit(version))
+     .write.mode("overwrite").parquet(place))
+    gone, rows = settle(spark.read.schema("doc_id bigint").parquet(place))
+    refuse_reused_ids(prev.docs, gone, rows, saved)
+    _write_vocab(vocabulary(entries).unionByName(removed_counts(prev, gone, rows)),
                  version_path(root, version, "vocab"))
-    n_new, n_gone = saved.count(), gone.count()
+    n_new, n_gone = saved.count(), len(rows) if rows is not None else gone.count()
     publish(spark, root, version=version, base=entry["base"], buckets=buckets,
             n_docs=entry["n_docs"] + n_new - n_gone,
             n_removed=entry["n_removed"] + n_gone)
     return open_index(spark, root), index_counters(classes, saved)
 
 
-def layer_buckets(spark: SparkSession, root: str, entry: dict, classes: DataFrame) -> int:
-    """As many buckets as the due files are worth at the base's number of documents per bucket,
-    but enough to keep the session's tasks busy."""
-    base = chain(spark, root, entry)[0]
-    due = classes.filter(F.col("change_class").isin("new", "changed")).count()
-    share = math.ceil(base["buckets"] * due / max(1, base["n_docs"]))
-    busy = min(base["buckets"], spark.sparkContext.defaultParallelism)
-    return max(busy, share)
-
-
-def refuse_reused_ids(staying: DataFrame, new: DataFrame) -> None:
+def refuse_reused_ids(prev_docs: DataFrame, gone: DataFrame, rows: list[dict] | None,
+                      new: DataFrame) -> None:
     """A new document must not take the id of one that stays."""
-    taken = staying.select("doc_id").join(new.select("doc_id"), "doc_id").limit(1).collect()
+    known = prev_docs.select("doc_id").join(new.select("doc_id"), "doc_id", "left_semi")
+    taken = known.join(hinted(gone, rows), "doc_id", "left_anti").limit(1).collect()
     if taken:
         raise ValueError(f"doc_id {taken[0]['doc_id']} belongs to more than one document")
 
 
-def one_per_path(files: DataFrame) -> DataFrame:
-    """The newest version of each path, found on metadata; texts are not shuffled for it."""
-    if "doc_id" not in files.columns:
-        return files  # a listing names each path once
-    versions = files.select("path", "mtime_us", "doc_id")
-    several = versions.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1").select("path")
-    few, rows = settle(several)
-    if rows is not None and not rows:
-        return files
-    doubled = versions.join(hinted(few, rows), "path", "left_semi")
-    old, old_rows = settle(doubled.join(
-        latest_per_path(doubled).select("doc_id"), "doc_id", "left_anti").select("doc_id"))
-    return files.join(hinted(old, old_rows), "doc_id", "left_anti").select(*files.columns)
-
-
 def build_empty(spark: SparkSession) -> DataFrame:
     """A documents table without rows, for a first refresh."""
     return spark.createDataFrame([], DOCS)
 
 
 def compact(spark: SparkSession, root: str) -> Index:
-    """Fold all layers into a new base, from the documents that are live."""
-    entry = latest(spark, root)
-    buckets = chain(spark, root, entry)[0]["buckets"]
-    return save_index(spark, open_index(spark, root).docs, root, buckets)
+    """Fold all layers into a new base, from the documents that are live; its buckets follow
+    their bytes."""
+    return save_index(spark, open_index(spark, root).docs, root)
 
 
 __all__ = ["Refreshed", "classify", "compact", "index_counters", "one_per_path",

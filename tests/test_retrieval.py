@@ -287,3 +287,76 @@ def test_counters_in_one_pass(spark):
     hits, _ = scan_search(docs, SearchOptions(search_term="foo", search_content=True), seen)
     assert hits.count() == 1
     assert seen.get == {"files_scanned": 2, "matches_found": 1, "files_skipped": 0}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _stepped(spark, root, rounds):
+    """A saved index and some refreshes, each of which changes a few documents and adds one."""
+    texts = {i: f"the base text {i} with" for i in range(30)}
+
+    def files():
+        return with_metadata(spark.createDataFrame(
+            [(i, f"/d/{i}.txt", text, len(text) * 1000 + i) for i, text in texts.items()],
+            "doc_id long, path string, text string, mtime_us long"))
+
+    save_index(spark, files(), root, buckets=3)
+    for r in range(rounds):
+        for i in (r, r + 1, 7):
+            texts[i] = f"round {r} of the text {i} " + "more " * r
+        texts[100 + r] = f"new in round {r}"
+        index, _ = refresh.refresh_saved(spark, root, files())
+    return index, files()
+
+
+def test_refreshed_layers_equal_a_rebuild(spark, tmp_path):
+    index, files = _stepped(spark, str(tmp_path / "steps"), 4)
+    rebuilt = build_index(files)
+    assert len(index.layers) == 5 and index.n_docs == rebuilt.docs.count() == 34
+    for table in ("docs", "postings"):
+        assert (sorted(map(str, getattr(index, table).collect()))
+                == sorted(map(str, getattr(rebuilt, table).collect())))
+    assert (sorted(map(str, index.terms().collect()))
+            == sorted(map(str, rebuilt.terms().collect())))
+    # One join with the removed ids for each layer that has later ones.
+    postings = refresh.open_index(spark, str(tmp_path / "steps")).postings
+    assert _plan(postings).count("LeftAnti") == 4
+
+
+def test_removed_counts_read_no_postings(spark, tmp_path):
+    index, _ = _stepped(spark, str(tmp_path / "steps"), 2)
+    gone, rows = bounded.settle(spark.createDataFrame([(3,), (7,)], "doc_id long"))
+    for ids in (rows, None):
+        lost = refresh.removed_counts(index, gone, ids)
+        read = {path.rsplit("/", 2)[-2] for path in lost.inputFiles()}
+        assert read == {"docs", "removed"}
+        assert ("In(doc_id, [3,7])" in _plan(lost)) == (ids is not None)
+        expected = index.postings.filter("doc_id in (3, 7)").groupBy("field", "term").agg(
+            (-F.count("*")).alias("df"), (-F.sum("tf")).alias("cf"))
+        assert sorted(map(tuple, lost.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_plain_builds_take_one_version_per_path(spark, tmp_path):
+    rows = [("/a.txt", "old words", 1), ("/a.txt", "new words", 2), ("/b.txt", "same", 1),
+            ("/b.txt", "same", 1), ("/c.txt", "tied x", 5), ("/c.txt", "tied y", 5)]
+    docs = spark.createDataFrame(rows, "path string, text string, mtime_us long")
+    for index in (build_index(docs), save_index(spark, docs, str(tmp_path / "plain"))):
+        found = sorted((r["path"], r["text"]) for r in index.docs.collect())
+        assert len(found) == 3 and found[:2] == [("/a.txt", "new words"), ("/b.txt", "same")]
+        assert sorted(r["term"] for r in index.terms().filter("field = 'content'").collect()) == (
+            sorted(["new", "same", "tied", "words", found[2][1][-1]]))
+    with_ids = _docs(spark, "x", "y").withColumn("path", F.lit("/one.txt"))
+    assert [r["text"] for r in build_index(with_ids).docs.collect()] == ["y"]
+
+
+def test_buckets_follow_the_bytes(spark, tmp_path):
+    from corpuslens.plans import index as plans
+    parallel = spark.sparkContext.defaultParallelism
+    mb = 1 << 20
+    assert [plans.bucket_count(spark, n) for n in (0, 10, mb, 2 * mb, 100 * mb)] == [
+        1, 1, 1, min(2, parallel), parallel]
+    assert plans.bucket_count(spark, 1 << 40) == 4096
+    saved = save_index(spark, _docs(spark, "one", "two"), str(tmp_path / "small"))
+    assert saved.postings.rdd.getNumPartitions() == 1
