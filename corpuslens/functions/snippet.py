@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpuslens.functions.text import bind, blank, escape_regex, flatten_breaks, split_terms
+from corpuslens.functions.text import (
+    ANY_CASE,
+    bind,
+    blank,
+    escape_regex,
+    flatten_breaks,
+    split_terms,
+)
 
 # The text kept on each side of a hit, and the preview's length and messages.
 RADIUS = 120
@@ -15,10 +22,13 @@ UNREADABLE = "(Binary file or cannot read)"
 
 
 def position(text: Column, term: Column, case_sensitive: Column) -> Column:
-    """1-based code point position of a term in a text, 0 where it is absent."""
-    return F.when(case_sensitive, F.instr(text, term)).otherwise(
-        F.instr(F.lower(text), F.lower(term))
-    )
+    """1-based code point position of a term in a text, 0 where it is absent. Without case the
+    text is searched as it is, so that no folding moves the place."""
+    literal = escape_regex(term)
+    before = F.call_function("regexp_extract", text, F.concat(F.lit("(?ius)^(.*?)"), literal),
+                             F.lit(1))
+    return F.when(case_sensitive, F.instr(text, term)).when(
+        F.regexp_like(text, F.concat(F.lit(ANY_CASE), literal)), F.length(before) + 1).otherwise(0)
 
 
 def snippet_terms(query: Column, phrase: Column) -> Column:
@@ -42,7 +52,7 @@ def window(cleaned: Column, at: Column, query: Column) -> Column:
 def highlight(text: Column, terms: Column, case_sensitive: Column) -> Column:
     """Each occurrence of a term in ``**``, inside words too; no terms leave the text as it is."""
     alternatives = F.array_join(F.transform(terms, escape_regex), "|")
-    flags = F.when(case_sensitive, F.lit("")).otherwise(F.lit("(?iu)"))
+    flags = F.when(case_sensitive, F.lit("")).otherwise(F.lit(ANY_CASE))
     return F.when(F.size(terms) == 0, text).otherwise(
         F.regexp_replace(text, F.concat(flags, alternatives), F.lit("**$0**"))
     )

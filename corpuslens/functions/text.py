@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -40,8 +41,15 @@ def lower_tokens(text: Column) -> Column:
     return lowered(case_tokens(text))
 
 
+def small(token: Column) -> Column:
+    """Each code point in lower case by itself. Lower-casing a whole text would make a last sigma
+    another letter, and the dotted capital I two letters."""
+    return F.lower(F.replace(F.replace(token, F.lit("\u03a3"), F.lit("\u03c3")),
+                             F.lit("\u0130"), F.lit("i")))
+
+
 def lowered(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: F.lower(t))
+    return F.transform(tokens, small)
 
 
 def kept(token: Column) -> Column:
@@ -101,14 +109,63 @@ def flatten_breaks(text: Column) -> Column:
     return F.translate(text, "\r\n", "  ")
 
 
+def _swapped(digits: Column, width: int) -> Column:
+    """Hexadecimal units of ``width`` bytes with their bytes turned round."""
+    groups = "".join("(..)" for _ in range(width))
+    return F.regexp_replace(digits, groups, "".join(f"${i}" for i in range(width, 0, -1)))
+
+
+def _utf16(digits: Column) -> Column:
+    """Text of UTF-16 units, big end first; an unpaired surrogate or a cut unit is replaced."""
+    units = F.regexp_replace(digits, "(....)", "$1 ")
+    units = F.regexp_replace(units, "D[89AB].. (?!D[C-F])", "FFFD ")
+    units = F.regexp_replace(units, "(?<!D[89AB].. )D[C-F].. ", "FFFD ")
+    units = F.regexp_replace(units, "(?<= |^)..?.?$", "FFFD")
+    return F.decode(F.unhex(F.replace(units, F.lit(" "), F.lit(""))), "UTF-16BE")
+
+
+def _utf32(digits: Column) -> Column:
+    """Text of UTF-32 units, big end first; what is no code point is replaced."""
+    units = F.regexp_replace(digits, "(.{8})", "$1 ")
+    units = F.regexp_replace(
+        units, "(?:0000D[89A-F]..|001[1-9A-F]....|00[2-9A-F].....|(?!00).{8}) ", "0000FFFD ")
+    units = F.regexp_replace(units, "(?<= |^).{1,7}$", "0000FFFD")
+    return F.decode(F.unhex(F.replace(units, F.lit(" "), F.lit(""))), "UTF-32")
+
+
+# Byte order marks in hexadecimal digits, longer ones first.
+UTF32_LITTLE, UTF32_BIG, UTF16_LITTLE, UTF16_BIG = "FFFE0000", "0000FEFF", "FFFE", "FEFF"
+
+
 def file_text(content: Column) -> Column:
-    """Text of raw bytes: UTF-8, malformed bytes replaced, a leading byte order mark dropped."""
-    return F.regexp_replace(F.make_valid_utf8(content.cast("string")), "^\\x{FEFF}", "")
+    """Text of raw bytes: in the encoding that a byte order mark names, else UTF-8; malformed
+    bytes are replaced and the mark is dropped."""
+    mark = F.hex(F.substring(content, 1, 4))
+
+    def rest(width: int) -> Column:
+        return F.hex(F.substring(content, width + 1, 2 ** 31 - 1))
+
+    return (F.when(mark == UTF32_LITTLE, _utf32(_swapped(rest(4), 4)))
+            .when(mark == UTF32_BIG, _utf32(rest(4)))
+            .when(F.startswith(mark, F.lit(UTF16_LITTLE)), _utf16(_swapped(rest(2), 2)))
+            .when(F.startswith(mark, F.lit(UTF16_BIG)), _utf16(rest(2)))
+            .otherwise(F.regexp_replace(
+                F.make_valid_utf8(content.cast("string")), "^\\x{FEFF}", "")))
+
+
+SYMBOLS = r"[\\^$.|?*+()\[\]{}#&~\-\s]"
+# Letters are compared one by one, each by its own upper and lower case.
+ANY_CASE = "(?iu)"
 
 
 def escape_regex(text: Column) -> Column:
     """A pattern that matches the text literally (each ASCII symbol is escaped by itself)."""
-    return F.regexp_replace(text, r"([\\^$.|?*+()\[\]{}#&~\-\s])", r"\\$1")
+    return F.regexp_replace(text, f"({SYMBOLS})", r"\\$1")
+
+
+def escaped(text: str) -> str:
+    """``escape_regex`` of a text that is known beforehand."""
+    return re.sub(f"({SYMBOLS})", r"\\\1", text, flags=re.ASCII)
 
 
 def blank(text: Column) -> Column:

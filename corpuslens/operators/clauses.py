@@ -19,6 +19,7 @@ from corpuslens.functions.text import (
     case_tokens,
     kept,
     lowered,
+    small,
     split_terms,
 )
 from corpuslens.schema import FIELD, FIELD_CASE, QUERIES
@@ -61,7 +62,7 @@ _READ = f"""CASE kind
   WHEN 'phrase' THEN named_struct(
     'clauses', array(named_struct('word', text, 'occur', 'must')), 'error', CAST(NULL AS string))
   WHEN 'fuzzy' THEN named_struct(
-    'clauses', transform(words, w -> named_struct('word', lower(w.word), 'occur', 'must')),
+    'clauses', transform(words, w -> named_struct('word', w.small, 'occur', 'must')),
     'error', CASE WHEN exists(words, w -> w.word IN ('AND', 'OR', 'NOT'))
                   THEN 'operator in a fuzzy query'
                   WHEN size(words) = 0 THEN 'empty query' END)
@@ -90,7 +91,7 @@ def read_queries(queries: DataFrame) -> DataFrame:
         F.expr("CASE WHEN phrase THEN 'phrase' WHEN fuzzy THEN 'fuzzy' ELSE 'plain' END AS kind"),
         F.expr(f"CASE WHEN case_sensitive THEN '{FIELD_CASE}' ELSE '{FIELD}' END AS field"),
         F.transform(words, lambda w: F.struct(
-            w.alias("word"), F.exists(case_tokens(w), kept).alias("has_token"))).alias("words"))
+            w.alias("word"), small(w).alias("small"), F.exists(case_tokens(w), kept).alias("has_token"))).alias("words"))
     return (with_words.select("*", F.expr(_READ).alias("read")).drop("words")
             .select("*", "read.clauses", "read.error").drop("read"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.functions.text import lines
+from corpuslens.functions.text import ANY_CASE, escaped, lines
 
 
 def pattern(term: str, case_sensitive: bool) -> str:
@@ -22,10 +22,10 @@ def check_pattern(spark: SparkSession, term: str) -> None:
 
 
 def contains(text: Column, term: str, case_sensitive: bool) -> Column:
-    """Literal containment."""
+    """Literal containment; without case, letter by letter, so that lengths never change."""
     if case_sensitive:
         return F.contains(text, F.lit(term))
-    return F.contains(F.lower(text), F.lower(F.lit(term)))
+    return text.rlike(ANY_CASE + escaped(term))
 
 
 def matches(text: Column, term: str, case_sensitive: bool) -> Column:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import file_text
+from corpuslens.operators.bounded import shared_folder
 from corpuslens.operators.filters import BINARY_PROBE, is_binary, skip_reason
 from corpuslens.operators.match import check_pattern, content_matches, name_matches
-from corpuslens.schema import SOURCE_SCAN, SearchOptions
+from corpuslens.schema import SEARCH_STATS, SOURCE_SCAN, SearchOptions
 from corpuslens.sources.tree import files_of, list_tree, with_content
 
 
@@ -60,14 +63,33 @@ def scan_search(files: DataFrame, options: SearchOptions,
     return scan_hits(watched), scan_stats(flags)
 
 
-def tree_files(spark: SparkSession, options: SearchOptions) -> DataFrame:
+def scan_once(files: DataFrame, options: SearchOptions) -> tuple[DataFrame, DataFrame]:
+    """``scan_search`` now and in one pass: every file is read once, its hits are written, and the
+    counters are those of the same pass."""
+    spark, seen = files.sparkSession, Observation(f"scan-{uuid.uuid4().hex}")
+    hits, _ = scan_search(files, options, seen)
+    place = f"{shared_folder(spark)}/scan-{uuid.uuid4().hex}"
+    hits.write.parquet(place)
+    counted = tuple(seen.get[name] for name in SEARCH_STATS.names)
+    return (spark.read.schema(hits.schema).parquet(place),
+            spark.createDataFrame([counted], SEARCH_STATS))
+
+
+def unlisted(listing: DataFrame) -> DataFrame:
+    """``path, error`` of the directories of a listing that could not be read."""
+    return (listing.filter(F.col("is_directory") & F.col("listing_error").isNotNull())
+            .select("path", F.col("listing_error").alias("error")))
+
+
+def tree_files(spark: SparkSession, options: SearchOptions,
+               listing: DataFrame | None = None) -> DataFrame:
     """The files below the root, read as far as the search needs them.
 
     Files that fail a test on metadata are not opened, and a name search reads only the bytes
     of the binary test. A directory that could not be listed is kept as an unreadable entry: it
     counts as skipped.
     """
-    listing = list_tree(spark, options.root_directory)
+    listing = list_tree(spark, options.root_directory) if listing is None else listing
     entries = listing.filter(~F.col("is_directory") | F.col("listing_error").isNotNull())
     passes = skip_reason(options, F.lit(False)).isNull() & F.col("listing_error").isNull()
     head = None if options.search_content else BINARY_PROBE

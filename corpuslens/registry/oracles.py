@@ -106,20 +106,23 @@ vocab AS (SELECT field, term, count(*) AS df, sum(tf) AS cf FROM post GROUP BY A
 INDEX = index_of("documents")
 
 
-def near(words: list[str]) -> str:
+def near(words: list[str] | None) -> str:
     """CTEs ``near_terms, expanded`` for lower-case words over the plain field.
 
     DuckDB's distance lets a swapped pair be edited again, the library's does not. A pair counts
     if two edits without a swap do, or one swap with at most one edit before or after it.
     """
-    rows = ", ".join(f"({_quoted(w)})" for w in words)
+    rows = (f"VALUES {', '.join(f'({_quoted(w)})' for w in words)}" if words else
+            "SELECT DISTINCT word FROM (SELECT unnest(list_transform(regexp_split_to_array("
+            "text, '[ \\t\\r\\n]+'), lambda x: lower(x))) AS word FROM benchmark) WHERE word <> ''")
     swap = "substring(w, i + 1, 1) || substring(w, i, 1)"
     return f"""
-words(word) AS (VALUES {rows}),
-flat_pairs AS (
+words(word) AS ({rows}),
+bands AS (SELECT word, unnest(range(length(word) - 2, length(word) + 3)) AS size FROM words),
+flat_pairs AS MATERIALIZED (
   SELECT word, term, df, cf, translate(term, '{ACCENTED}', '{PLAIN}') AS t,
          translate(word, '{ACCENTED}', '{PLAIN}') AS w
-  FROM vocab, words WHERE field = 'content' AND abs(length(term) - length(word)) <= 2),
+  FROM vocab JOIN bands ON length(term) = size WHERE field = 'content'),
 near_terms AS (
   SELECT word, term, df, cf, damerau_levenshtein(t, w) AS distance
   FROM flat_pairs
@@ -291,13 +294,40 @@ SELECT a.doc_id, a.pos AS start FROM two a JOIN two b ON b.doc_id = a.doc_id AND
 WHERE a.term = 'of' AND b.term = 'the'"""
 
 
-def _near_statement(select: str) -> str:
+def _near_statement(select: str, words: list[str] | None = FUZZY_WORDS) -> str:
     """Over the vocabulary of the plain field, counted from tokens without their positions."""
     return f"""WITH held AS (
   SELECT doc_id, unnest({tokens_of('lower(text)')}) AS term FROM documents),
 vocab AS MATERIALIZED (
   SELECT 'content' AS field, term, count(DISTINCT doc_id) AS df, count(*) AS cf
-  FROM held WHERE length(term) <= 255 GROUP BY term), {near(FUZZY_WORDS)} {select}"""
+  FROM held WHERE length(term) <= 255 GROUP BY term), {near(words)} {select}"""
+
+
+def _mode(case: int, hits: str, source: str, counters: str, said: str) -> str:
+    return (f"SELECT {case} AS case_id, {hits} AS hits, '{source}' AS source, {counters}, "
+            f"'{said}' AS said FROM seen")
+
+
+_SCANNED = ("files AS files_scanned, {0} AS matches_found, 0 AS files_skipped")
+_NOTHING = "0 AS files_scanned, 0 AS matches_found, 0 AS files_skipped"
+_INDEXED = "0 AS files_scanned, least(200, docs) AS matches_found, 0 AS files_skipped"
+_MODES = f"""WITH {FILES}, {INDEX}, seen AS (
+  SELECT count(*) AS files, count(*) FILTER (contains(lower(name), 'doc1')) AS names,
+         count(*) FILTER (contains(lower(text), '{LINE_LITERAL}')) AS lines,
+         (SELECT count(*) FROM post WHERE field = 'content' AND term = '{LINE_LITERAL}') AS docs
+  FROM meta)
+""" + " UNION ALL ".join([
+    _mode(0, "names", "scan", _SCANNED.format("names"), ""),
+    _mode(1, "lines", "scan", _SCANNED.format("lines"), ""),
+    _mode(2, "0", "", _NOTHING,
+          "warning: Regex search is not available when using the content index."),
+    _mode(3, "lines", "scan", _SCANNED.format("lines"),
+          "status: Regex search requested. Falling back to scan mode."),
+    _mode(4, "0", "", _NOTHING, "warning: No content index found at ''/no/index''."),
+    _mode(5, "lines", "scan", _SCANNED.format("lines"),
+          "status: No content index found. Falling back to scan mode."),
+    _mode(6, "least(200, docs)", "index", _INDEXED, ""),
+    _mode(7, "least(200, docs)", "index", _INDEXED, "")])
 
 
 def oracle_sql() -> dict[str, str]:
@@ -305,7 +335,8 @@ def oracle_sql() -> dict[str, str]:
         # Sources and sinks
         "S1_list_files": _files("SELECT path, size FROM meta"),
         "S2_list_files_for_index": _files("SELECT path, extension, size FROM meta"),
-        "S3_decode_text": "SELECT doc_id, text FROM documents",
+        "S3_decode_text": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || chr(65533) "
+                          "ELSE text END AS text FROM documents",
         "S4_catalogue": f"WITH {FILES} {_ENTRIES} SELECT * FROM entries",
         "S5_catalogue_rebuild": f"WITH {FILES} {_ENTRIES} SELECT * FROM entries",
         "S8_lines": f"SELECT doc_id, line_no, line FROM ({_LINES})",
@@ -421,6 +452,9 @@ def oracle_sql() -> dict[str, str]:
         "E6_catalogue_status": f"WITH {FILES} {_ENTRIES} "
                                "SELECT count(*) AS entries FROM entries",
         "E7_batch_search": _BATCH,
+        "E7_fuzzy_batch": _near_statement(
+            "SELECT word, term, distance, df, cf FROM near_terms", None),
+        "E4_modes": _MODES,
     }
     start, end = "greatest(0, spot - 121)", "least(length(flat), spot - 1 + 8 + 120)"
     out["P9_window"] = (

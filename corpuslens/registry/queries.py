@@ -6,7 +6,7 @@ import os
 import re
 import uuid
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -223,6 +223,49 @@ def _batch(spark: SparkSession, sf: str) -> DataFrame:
     return Q.ranked_documents(index(spark, sf), queries)
 
 
+def _modes(spark: SparkSession, sf: str) -> DataFrame:
+    """One search for each row of the mode rules: what was searched, counted and said."""
+    ix, place = index(spark, sf), "/no/index"
+    cases = [
+        (False, "index", False, True), (True, "scan", False, True), (True, "index", True, True),
+        (True, "auto", True, True), (True, "index", False, False), (True, "auto", False, False),
+        (True, "auto", False, True), (True, "index", False, True)]
+    parts = []
+    for case, (content, mode, regex, present) in enumerate(cases):
+        options = SearchOptions(
+            search_term="doc1" if not content else LINE_LITERAL, search_content=content,
+            content_search_mode=mode, use_regex=regex, content_index_path=place)
+        outcome = search(spark, options, files=meta(spark, sf), index=ix if present else None)
+        sources = outcome.hits.agg(
+            F.count("*").alias("hits"), F.coalesce(F.max("source"), F.lit("")).alias("source"))
+        said = "; ".join(f"{level}: {text}" for level, text in outcome.messages)
+        parts.append(outcome.stats.join(sources).select(
+            F.lit(case).alias("case_id"), "hits", "source", "files_scanned", "matches_found",
+            "files_skipped", F.lit(said).alias("said")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _fuzzy_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """The words of all benchmark texts, each against the whole vocabulary."""
+    words = _fuzzy_words(spark, sf).select(F.lit(FIELD).alias("field"), "word").distinct()
+    return near_terms(index(spark, sf).vocab, words).select("word", "term", "distance", "df", "cf")
+
+
+def _encoded(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts as bytes in five encodings with their marks, every seventh with a bad end."""
+    text = F.col("text")
+    kinds = [(b"\xef\xbb\xbf", text.cast("binary")),
+             (b"\xff\xfe", F.encode(text, "UTF-16LE")), (b"\xfe\xff", F.encode(text, "UTF-16BE")),
+             (b"\x00\x00\xfe\xff", F.encode(text, "UTF-32")), (b"", text.cast("binary"))]
+    which, ends = F.col("doc_id") % len(kinds), [b"\xff", b"\x00\xdc", b"\xdc\x00",
+                                                b"\x00\x11\x00\x00", b"\xc3"]
+    made = reduce(lambda rest, i: F.when(which == i, F.concat(
+        F.lit(kinds[i][0]), kinds[i][1],
+        F.when(F.col("doc_id") % 7 == 0, F.lit(ends[i])).otherwise(F.lit(b"")))).otherwise(rest),
+        range(len(kinds)), F.lit(None).cast("binary"))
+    return documents(spark, sf).select("doc_id", file_text(made).alias("text"))
+
+
 def _fuzzy_words(spark: SparkSession, sf: str) -> DataFrame:
     items = spark.read.parquet(f"{sf}/benchmark.parquet").select(
         "item_id", "text", _no().alias("case_sensitive"), F.lit(True).alias("fuzzy"),
@@ -254,8 +297,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             files_of(list_tree(s, tree(s, d))), tree(s, d)).select("path", "size"),
         "S2_list_files_for_index": lambda s, d: _below(
             scan.indexable_tree(s, tree(s, d)), tree(s, d)).select("path", "extension", "size"),
-        "S3_decode_text": lambda s, d: documents(s, d).select("doc_id", file_text(
-            F.concat(F.lit(b"\xef\xbb\xbf"), col("text").cast("binary"))).alias("text")),
+        "S3_decode_text": _encoded,
         "S4_catalogue": lambda s, d: _entries(s, d, C.catalogue(s, tree(s, d))),
         "S5_catalogue_rebuild": lambda s, d: _entries(s, d, _catalogue(s, d, 2)),
         "S8_lines": lambda s, d: documents(s, d).select(
@@ -356,9 +398,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "E1_scan_search": lambda s, d: scan.scan_search(spoiled(s, d), _scan_options())[0],
         "E2_index_search": lambda s, d: Q.index_search(index(s, d), _ask(s, 2)),
         "E4_search": _searched,
+        "E4_modes": _modes,
         "E5_refreshed_index": lambda s, d: refreshed(s, d)[0].terms(),
         "E6_catalogue_status": lambda s, d: C.catalogue_status(_catalogue(s, d)),
         "E7_batch_search": _batch,
+        "E7_fuzzy_batch": _fuzzy_batch,
     }
     for query_id, query in ALL_QUERIES.items():
         if query.key:

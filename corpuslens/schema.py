@@ -50,11 +50,11 @@ MAX_FILE_BYTES = 25 * 1024 * 1024
 DEFAULT_HITS = 20
 COORDINATOR_HITS = 200
 DEFAULT_EXTENSIONS = (
-    ".txt .md .log .json .yaml .yml "
-    ".cs .java .py .js .ts .tsx .jsx .cpp .c .h .hpp "
-    ".go .rs .rb .php .swift .kt .scala .sql .html .css "
-    ".scss .xml .xaml .sh .bat .ps1 .ini .cfg .toml"
-).split()
+    ".txt", ".md", ".log", ".json", ".yaml", ".yml",
+    ".cs", ".java", ".py", ".js", ".ts", ".tsx", ".jsx", ".cpp", ".c", ".h", ".hpp",
+    ".go", ".rs", ".rb", ".php", ".swift", ".kt", ".scala", ".sql", ".html", ".css",
+    ".scss", ".xml", ".xaml", ".sh", ".bat", ".ps1", ".ini", ".cfg", ".toml",
+)
 
 
 @dataclass(frozen=True)

@@ -16,6 +16,7 @@ from corpuslens.functions.text import (
     escape_regex,
     file_text,
     lines,
+    lowered,
     postings_of_doc,
     split_terms,
 )
@@ -67,6 +68,49 @@ def test_line_search(column, text, pattern, regex, hit):
     assert column(match.content_matches(F.lit(text), pattern, regex, False)) is hit
 
 
+@pytest.mark.parametrize("text, term, hit", [
+    ("\u039f\u0394\u039f\u03a3\u0391", "\u039f\u0394\u039f\u03a3", True),
+    ("\u03bf\u03b4\u03bf\u03c3\u03b1", "\u039f\u0394\u039f\u03a3", True),
+    ("\u03bf\u03b4\u03bf\u03c2", "\u039f\u0394\u039f\u03a3", True), ("a.b", "A.B", True),
+    ("axb", "a.b", False), ("a\\E(b[", "A\\e(B[", True), ("x", "", True), ("#- &~", "- &", True),
+    ("STRASSE", "stra\u00dfe", False)])
+def test_literals_fold_letter_by_letter(column, text, term, hit):
+    assert column(match.contains(F.lit(text), term, False)) is hit
+
+
+def test_tokens_fold_letter_by_letter(column):
+    tokens = F.array(F.lit("\u039f\u0394\u039f\u03a3"), F.lit("\u0130X"), F.lit("\u00c9"))
+    assert column(lowered(tokens)) == ["\u03bf\u03b4\u03bf\u03c3", "ix", "\u00e9"]
+
+
+def test_snippet_of_a_hit_after_letters_that_grow(column):
+    text = "\u0130" * 130 + "hit" + "y" * 200
+    found = column(S.snippet(F.lit(text), F.lit("HIT"), F.lit(False), F.lit(False)))
+    assert found == "\u0130" * 120 + "**hit**" + "y" * 120
+    assert column(S.position(F.lit("\U0001f600 a(b"), F.lit("A("), F.lit(False))) == 3
+    assert column(S.position(F.lit("a\nb"), F.lit("B"), F.lit(False))) == 3
+
+
+SAMPLE = "A\u00e9 \u65e5\U0001f600z"
+
+
+@pytest.mark.parametrize("content, text", [
+    (b"\xff\xfe" + SAMPLE.encode("utf-16-le"), SAMPLE),
+    (b"\xfe\xff" + SAMPLE.encode("utf-16-be"), SAMPLE),
+    (b"\xff\xfe\x00\x00" + SAMPLE.encode("utf-32-le"), SAMPLE),
+    (b"\x00\x00\xfe\xff" + SAMPLE.encode("utf-32-be"), SAMPLE),
+    (b"\xef\xbb\xbf" + SAMPLE.encode(), SAMPLE), (SAMPLE.encode(), SAMPLE),
+    (b"\xff\xfe", ""), (b"\xfe\xff", ""), (b"\xff\xfe\x00\x00", ""), (b"", ""), (None, None),
+    (b"\xff\xfeA\x00B", "A\ufffd"), (b"\xfe\xff\x00A\xd8\x00\x00B", "A\ufffdB"),
+    (b"\xfe\xff\xdc\x00\xdc\x00\x00B", "\ufffd\ufffdB"),
+    (b"\xfe\xff\xd8\x3d\xde\x00\xde\x00", "\U0001f600\ufffd"),
+    (b"\x00\x00\xfe\xff\x00\x11\x00\x00\x00\x00\x00A\x00", "\ufffdA\ufffd"),
+    (b"\xff\xfe\x00\x00\x00\xd8\x00\x00A\x00\x00\x00", "\ufffdA"),
+    (b"a\xffb", "a\ufffdb")])
+def test_decoding_by_the_mark(column, content, text):
+    assert column(file_text(F.lit(content).cast("binary"))) == text
+
+
 def test_malformed_pattern_is_refused(spark):
     match.check_pattern(spark, r"a(b)?")
     with pytest.raises(ValueError):

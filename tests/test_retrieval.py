@@ -117,7 +117,7 @@ def test_expansion(spark, word, term, found):
     assert [round(r["boost"], 9) for r in rows] == ([round(found[1], 9)] if found else [])
 
 
-@pytest.mark.parametrize("few", [0, 64])
+@pytest.mark.parametrize("few", [0, 1000])
 def test_near_terms_equal_brute_force(spark, monkeypatch, few):
     monkeypatch.setattr(fuzzy, "FEW_WORDS", few)
     random.seed(11)
@@ -239,7 +239,8 @@ MODES = [
     (dict(content_search_mode="index", use_regex=True), True, "none",
      [("warning", coordinator.NO_REGEX)]),
     (dict(use_regex=True), True, "scan", [("status", coordinator.REGEX_SCAN)]),
-    (dict(content_search_mode="index"), False, "none", [("warning", coordinator.NO_INDEX)]),
+    (dict(content_search_mode="index", content_index_path="/x"), False, "none",
+     [("warning", "No content index found at '/x'.")]),
     (dict(), False, "scan", [("status", coordinator.NO_INDEX_SCAN)]),
     (dict(), True, "index", []),
     (dict(content_search_mode="index"), True, "index", []),

@@ -1,8 +1,10 @@
 """Listing, catalogue, scan and refresh on a real directory."""
 
 import os
+from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpuslens import (
     SearchOptions,
@@ -102,7 +104,8 @@ def test_search_opens_the_index_and_drops_missing_files(spark, root, tmp_path):
     outcome = search(spark, options)
     assert [tuple(r)[1:] for r in outcome.hits.collect()] == [
         ("Hello wörld **foo** bar ", "index")]
-    assert tuple(outcome.stats.first()) == (0, 1, 0) and outcome.messages == []
+    assert tuple(outcome.stats.first()) == (0, 1, 0)
+    assert outcome.messages == [("status", f"Searching content index: {place}")]
     os.remove(os.path.join(root, "a.txt"))
     assert search(spark, options).hits.count() == 0
 
@@ -153,6 +156,61 @@ def test_refresh_follows_the_tree(spark, root, tmp_path):
     assert open_index(spark, place).n_docs == 5
 
 
+def test_directories_that_cannot_be_read_are_told(spark, root, tmp_path):
+    options = SearchOptions(search_term="foo", search_content=True)
+    gone = search(spark, replace(options, root_directory=str(tmp_path / "nowhere")))
+    assert gone.hits.count() == 0 and tuple(gone.stats.first()) == (0, 0, 1)
+    assert gone.messages == [
+        ("status", coordinator.NO_INDEX_SCAN),
+        ("warning", f"Warning: Directory not found: {tmp_path / 'nowhere'}. Skipping.")]
+    listing = list_tree(spark, root)
+    spoiled = listing.withColumn("listing_error", F.when(
+        F.col("name") == "deep", "denied").when(F.col("name") == "emptydir", "not found"))
+    assert [tuple(r) for r in scan.unlisted(spoiled).orderBy("path").collect()] == [
+        (f"{root}/emptydir", "not found"), (f"{root}/sub/deep", "denied")]
+
+
+def test_warnings_of_a_scan(spark, root, monkeypatch):
+    listed = coordinator.list_tree
+
+    def spoiled(spark, place):
+        return listed(spark, place).withColumn("listing_error", F.when(
+            F.col("name") == "deep", "denied").when(F.col("name") == "emptydir", "not found"))
+
+    monkeypatch.setattr(coordinator, "list_tree", spoiled)
+    outcome = search(spark, SearchOptions(search_term="foo", search_content=True,
+                                          root_directory=root, content_search_mode="scan"))
+    assert outcome.messages == [
+        ("warning", f"Warning: Directory not found: {root}/emptydir. Skipping."),
+        ("warning", f"Warning: Access denied to directory: {root}/sub/deep. Skipping.")]
+    assert tuple(outcome.stats.first()) == (6, 1, 3) and outcome.unlisted.count() == 2
+
+
+def test_a_scan_opens_each_file_once(spark, root, monkeypatch, tmp_path):
+    from corpuslens.sources import tree
+    log, read = str(tmp_path / "opened"), tree._read_files
+
+    def logged(limit):
+        inner = read(limit)
+
+        def batches(tables):
+            def seen():
+                for table in tables:
+                    with open(log, "a") as stream:
+                        stream.writelines(f"{p}\n" for p in table.column("path").to_pylist())
+                    yield table
+            return inner(seen())
+        return batches
+
+    monkeypatch.setattr(tree, "_read_files", logged)
+    outcome = search(spark, SearchOptions(search_term="foo", search_content=True,
+                                          root_directory=root, content_search_mode="scan"))
+    assert outcome.hits.count() == 1 and tuple(outcome.stats.first()) == (6, 1, 1)
+    with open(log) as stream:
+        opened = stream.read().split()
+    assert len(opened) == len(set(opened)) == 7
+
+
 def test_driver_lists_no_directory(spark, root, monkeypatch):
     def refuse(path):
         raise AssertionError(f"the driver opened {path}")
