@@ -6,6 +6,8 @@ before it splits, and puts them back afterwards.
 
 from __future__ import annotations
 
+import string
+
 from corpuslens.registry.inputs import (
     ALL_QUERIES,
     FUZZY_WORDS,
@@ -116,17 +118,27 @@ def near(words: list[str] | None) -> str:
             "SELECT DISTINCT word FROM (SELECT unnest(list_transform(regexp_split_to_array("
             "text, '[ \\t\\r\\n]+'), lambda x: lower(x))) AS word FROM benchmark) WHERE word <> ''")
     swap = "substring(w, i + 1, 1) || substring(w, i, 1)"
+
+    def letters(text: str) -> str:
+        """Which of a-z occur, as bits: an edit changes two at most, so it rules most pairs out."""
+        return " + ".join(f"CAST(contains({text}, '{c}') AS BIGINT) * {1 << i}"
+                          for i, c in enumerate(string.ascii_lowercase))
+
     return f"""
 words(word) AS ({rows}),
-bands AS (SELECT word, unnest(range(length(word) - 2, length(word) + 3)) AS size FROM words),
+bands AS (SELECT word, {letters('word')} AS held,
+                 unnest(range(length(word) - 2, length(word) + 3)) AS size FROM words),
+held AS (SELECT term, df, cf, {letters('term')} AS held FROM vocab WHERE field = 'content'),
 flat_pairs AS MATERIALIZED (
   SELECT word, term, df, cf, translate(term, '{ACCENTED}', '{PLAIN}') AS t,
          translate(word, '{ACCENTED}', '{PLAIN}') AS w
-  FROM vocab JOIN bands ON length(term) = size WHERE field = 'content'),
+  FROM held JOIN bands ON length(term) = size AND bit_count(xor(held.held, bands.held)) <= 4),
+close_pairs AS MATERIALIZED (
+  SELECT * FROM (SELECT *, damerau_levenshtein(t, w) AS distance FROM flat_pairs)
+  WHERE distance <= 2),
 near_terms AS (
-  SELECT word, term, df, cf, damerau_levenshtein(t, w) AS distance
-  FROM flat_pairs
-  WHERE damerau_levenshtein(t, w) <= 2 AND (levenshtein(t, w) <= 2 OR len(list_filter(
+  SELECT word, term, df, cf, distance FROM close_pairs
+  WHERE (levenshtein(t, w) <= 2 OR len(list_filter(
     range(1, length(w)), lambda i:
       starts_with(t, substring(w, 1, i - 1) || {swap})
         AND damerau_levenshtein(substring(t, i + 2), substring(w, i + 2)) <= 1
@@ -296,11 +308,11 @@ WHERE a.term = 'of' AND b.term = 'the'"""
 
 def _near_statement(select: str, words: list[str] | None = FUZZY_WORDS) -> str:
     """Over the vocabulary of the plain field, counted from tokens without their positions."""
-    return f"""WITH held AS (
+    return f"""WITH all_tokens AS (
   SELECT doc_id, unnest({tokens_of('lower(text)')}) AS term FROM documents),
 vocab AS MATERIALIZED (
   SELECT 'content' AS field, term, count(DISTINCT doc_id) AS df, count(*) AS cf
-  FROM held WHERE length(term) <= 255 GROUP BY term), {near(words)} {select}"""
+  FROM all_tokens WHERE length(term) <= 255 GROUP BY term), {near(words)} {select}"""
 
 
 def _mode(case: int, hits: str, source: str, counters: str, said: str) -> str:
