@@ -31,19 +31,21 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpuslens.llm.batches import Kept
+from corpuslens.llm.batches import Kept, slices
 from corpuslens.llm.packing import byte_letters
 from corpuslens.llm.text import written
 from corpuslens.operators.bounded import shared_folder
@@ -53,9 +55,11 @@ END_ID = 2
 LIMIT = 20  # bits of the longest code
 MOST_SYMBOLS = 1 << LIMIT  # a larger vocabulary has no such code
 BLOCK = 512  # ids between two checkpoints
+PACKED_AT_ONCE = BLOCK << 8
 SEGMENT_IDS = 4_000_000
 FILE_IDS = 32_000_000
-KEPT_CHUNKS = 300_000
+KEPT_CHUNKS = 600_000
+TEXT_CHARS = 16_000_000  # characters that a task encodes at once
 MAGIC = b"IDS1"
 CLOSING = ".,;:!?%&$*#()[]{}|\"-_/+=~@^`"
 UNEVEN = re.compile(r"\s ")
@@ -73,41 +77,74 @@ class ByteEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer)
-        self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.kind = id_kind(self.tokenizer.get_vocab_size())
+        self.tokenize, self.letters = self.tokenizer.model.tokenize, byte_letters()
+        self.blank, self.kind = self.letters[ord(" ")], id_kind(self.tokenizer.get_vocab_size())
+        self.code = "H" if self.kind == "u2" else "I"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = Kept(self._word, kept)
-        self.chunks = Kept(self._chunk, kept)
-        self.others = Kept(self._encoded, kept)
+        self.chunks = Kept(self._chunk, kept)  # each with a blank before it
+        self.others = Kept(self._other, kept)
 
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+    def bytes_of(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
 
-    def _word(self, word: str) -> bytes:
+    def _word(self, word: str, before: str = "") -> bytes:
         """A word that the tokenizer does not part any further."""
-        shown = "".join(map(self.letters.__getitem__, word.encode()))
-        return self._bytes([t.id for t in self.model.tokenize(shown)])
+        shown = word if word.isascii() else "".join(
+            map(self.letters.__getitem__, word.encode()))
+        return self.bytes_of([t.id for t in self.tokenize(before + shown)])
 
     def _encoded(self, text: str) -> bytes:
-        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return self.bytes_of(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _other(self, text: str) -> bytes:
+        """As it stands; letters with closing marks are two words."""
+        core = text.rstrip(CLOSING)
+        if not core.isalpha():
+            return self._encoded(text)
+        return self._word(core) + (self.others[text[len(core):]] if core != text else b"")
 
     def _chunk(self, chunk: str) -> bytes:
-        """A blank and the chunk; letters with closing marks are two words."""
+        if chunk.isalpha():
+            return self._word(chunk, self.blank)
         core = chunk.rstrip(CLOSING)
         if core.isalpha():
-            tail = chunk[len(core):]
-            return self.words[" " + core] + (self.words[tail] if tail else b"")
+            return self.chunks[core] + self.others[chunk[len(core):]]
+        lines = chunk.split("\n")
+        if len(lines) > 1 and lines == chunk.split():  # one line feed between words is a word
+            return self.chunks[lines[0]] + b"".join(
+                self.others["\n"] + self.others[line] for line in lines[1:])
         return self._encoded(" " + chunk)
 
-    def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
+    def _odd(self, text: str) -> bytes | None:
+        """The ids of a text that blanks do not part into chunks, else None."""
         if any(s in text for s in self.special):
             return self._encoded(text)
         if UNEVEN.search(text):
             return b"".join(map(self.others.__getitem__, STARTS.split(text)))
-        first, *rest = text.split(" ")
-        return self.others[first] + b"".join(map(self.chunks.__getitem__, rest))
+        return None
+
+    def ids(self, texts: list[str], end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each closed by ``end``, and where each text begins (one more at
+        the end). Chunks are told apart by Arrow; Python sees each different one once."""
+        odd = [self._odd(t) if t else b"" for t in texts]
+        split = pc.split_pattern(pa.array(
+            ["" if o is not None else t for t, o in zip(texts, odd)], pa.string()), " ")
+        first = split.offsets.to_numpy()
+        names = split.values.dictionary_encode()
+        own = list(map(self.chunks.__getitem__, names.dictionary.to_pylist()))
+        heads = [self.others[t.split(" ", 1)[0]] if o is None else o for t, o in zip(texts, odd)]
+        # One entry for each chunk, each text's beginning, and the end; one number for each place.
+        entries = [*own, *heads, self.bytes_of(end)]
+        at = names.indices.to_numpy().astype(np.int64)
+        at[first[:-1]] = len(own) + np.arange(len(texts))
+        at = np.insert(at, first[1:], len(entries) - 1)
+        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // array(self.code).itemsize
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[at]
+        ends = np.cumsum(n)
+        ids = np.frombuffer(b"".join(entries), self.kind)[
+            np.repeat(starts[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.concatenate([[0], ends])[first + np.arange(len(first))]
 
 
 _encoders: dict[str, ByteEncoder] = {}
@@ -121,20 +158,23 @@ def encoder(tokenizer: str) -> ByteEncoder:
 
 
 def id_kind(vocabulary: int) -> str:
-    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+    """How ids are kept between two passes (in the files they are codes)."""
+    return "u2" if vocabulary <= 1 << 16 else "u4"
 
 
 def encoded(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
     """``ENCODED`` of documents ``doc_id, text``: all ids of a row, the end id included."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        end, width = encode._bytes([end_id]), np.dtype(encode.kind).itemsize
-        for batch in batches:
-            ids = [encode.ids(text.as_py()) + end for text in batch.column(2)]
-            n = [len(i) // width for i in ids]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()),
-                 pa.array(ids, pa.binary())], names=["row_", "doc_id", "n_tokens", "ids"])
+        for whole in batches:
+            for batch, texts in slices(whole, "text", TEXT_CHARS):
+                ids, starts = encode.ids(texts, [end_id])
+                width = ids.dtype.itemsize
+                packed = pa.Array.from_buffers(pa.large_binary(), len(texts), [
+                    None, pa.py_buffer(width * starts), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(np.diff(starts)),
+                     packed.cast(pa.binary())], names=["row_", "doc_id", "n_tokens", "ids"])
 
     return docs.select(F.monotonically_increasing_id().alias("row_"),
                        F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
@@ -208,16 +248,25 @@ def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, int]:
 def pack_bits(ids: np.ndarray, lengths: np.ndarray, code: np.ndarray,
               block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """The bits of all codes as big-endian 32-bit words, and the bit offset of every block."""
-    bits = lengths[ids].astype(np.int64)
-    ends = np.cumsum(bits)
-    at = ends - bits
-    total = int(ends[-1]) if len(ends) else 0
-    word = at >> 5
-    shifted = code[ids] << (64 - bits - (at & 31)).astype(np.uint64)
-    n = (total >> 5) + 3
-    words = np.bincount(word, (shifted >> np.uint64(32)).astype(np.float64), n)
-    words += np.bincount(word + 1, (shifted & np.uint64(0xFFFFFFFF)).astype(np.float64), n)
-    return words.astype(np.uint32).astype(">u4"), at[::block]
+    total, words, offsets = 0, [np.zeros(1)], []
+    for start in range(0, len(ids), PACKED_AT_ONCE):
+        part = ids[start:start + PACKED_AT_ONCE]
+        bits = lengths[part].astype(np.int64)
+        ends = np.cumsum(bits) + (total & 31)
+        at = ends - bits
+        word = at >> 5
+        shifted = code[part] << (64 - bits - (at & 31)).astype(np.uint64)
+        n = (int(ends[-1]) >> 5) + 2
+        # No two codes share a bit, so sums are unions; as floats they are exact below 2^53.
+        sums = np.bincount(word, (shifted >> np.uint64(32)).astype(np.float64), n)
+        sums += np.bincount(word + 1, (shifted & np.uint64(0xFFFFFFFF)).astype(np.float64), n)
+        sums[0] += words[-1][-1]  # the word that the part before began
+        words[-1] = words[-1][:-1]
+        offsets.append(at[::block] + (total >> 5 << 5))
+        total = (total >> 5 << 5) + int(ends[-1])
+        words.append(sums[:(int(ends[-1]) >> 5) + 1])
+    return (np.concatenate(words).astype(np.uint32).astype(">u4"),
+            np.concatenate(offsets) if offsets else np.zeros(0, np.int64))
 
 
 def unpack_bits(words: np.ndarray, offsets: np.ndarray, n: int, lengths: np.ndarray,
@@ -290,8 +339,8 @@ def id_counts(table: DataFrame, vocabulary: int) -> np.ndarray:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                total += np.bincount(np.frombuffer(ids.as_py(), kind), minlength=vocabulary)
+            whole = b"".join(ids.as_py() for ids in batch.column(0))
+            total += np.bincount(np.frombuffer(whole, kind), minlength=vocabulary)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])],
                                          names=["id", "n"])
@@ -401,5 +450,6 @@ def read_ids(files: TokenFiles, ids: bool = False) -> DataFrame:
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    spread = placed.repartition("part", "segment")
+    # Few bytes name much work, so the number of tasks is set here, not by size.
+    spread = placed.repartition(1 + manifest.count() // 4, "part", "segment")
     return spread.mapInArrow(documents, READ + (", ids binary" if ids else ""))
