@@ -34,18 +34,21 @@ fewer phrases has fewer rows. No rows give no rows.
 from __future__ import annotations
 
 import string
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpuslens.llm.text import written
+from corpuslens.llm.text import release, written
+from corpuslens.operators.bounded import shared_folder
 
 THRESHOLD = 100
 LONGEST = 5
@@ -60,7 +63,7 @@ UPPER = string.ascii_uppercase.encode()
 #: Each byte of a text: small letters, a line feed between pieces, a blank between words.
 BYTES = bytes(b + 32 if b in UPPER else 10 if b in MARKS else 32 if b == 9 else b
               for b in range(256))
-BLOCKS = "shard int, lang string, ids binary, keys binary, sums binary, words binary"
+BLOCKS = "shard int, lang string, ids binary, sums binary, words binary"
 COUNTS = "k byte, a long, b long, n long, start byte"
 # The constants of the 64-bit xxHash.
 P1, P2, P3, P4, P5 = (np.uint64(p) for p in (
@@ -102,20 +105,23 @@ def parts_of(text: str | None, size: int = BLOCK_BYTES) -> Iterator[bytes]:
         yield data[start:]
 
 
-def _block(lang: str, parts: list[bytes]) -> tuple[bytes, bytes, bytes, bytes]:
-    """Word ids in order (0 between pieces); the different ids, how often each occurs, its word."""
+def _keys(lang: str, words: list[bytes]) -> np.ndarray:
+    """The ids of words of a language; never 0."""
+    seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) or 1 for w in words), np.uint64, len(words))
+
+
+def _block(lang: str, parts: list[bytes]) -> tuple[bytes, bytes, bytes]:
+    """Word ids in order (0 between pieces); how often each different word occurs, and the words."""
     tokens = b"\n".join(parts).replace(b"\n", b" \n ").split(b" ")
     places: dict[bytes, int] = {b"": 0, b"\n": 1}
     for token in tokens:
         places.setdefault(token, len(places))
     at = np.fromiter(map(places.__getitem__, tokens), np.int64, len(tokens))
     words = list(places)[2:]
-    seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
-    keys = np.fromiter((xxhash.xxh64_intdigest(w, seed) or 1 for w in words), np.uint64, len(words))
-    ids = np.concatenate([np.zeros(2, np.uint64), keys])[at[at > 0]]
+    ids = np.concatenate([np.zeros(2, np.uint64), _keys(lang, words)])[at[at > 0]]
     sums = np.bincount(at, minlength=len(places))[2:]
-    return (ids.astype("<u8").tobytes(), keys.astype("<u8").tobytes(),
-            sums.astype("<i8").tobytes(), b"\n".join(words))
+    return ids.astype("<u8").tobytes(), sums.astype("<i8").tobytes(), b"\n".join(words)
 
 
 def word_blocks(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -125,7 +131,7 @@ def word_blocks(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             made = [(number % shards, lang, *_block(lang, parts)) for lang, parts in held.items()]
-            kinds = (pa.int32(), pa.string(), *[pa.binary()] * 4)
+            kinds = (pa.int32(), pa.string(), *[pa.binary()] * 3)
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*made), kinds)],
                 names=[c.split()[0] for c in BLOCKS.split(", ")])
@@ -185,10 +191,11 @@ def _scan(blocks: DataFrame, scan: int, steps: list[np.ndarray], shards: int,
                 ids = np.frombuffer(batch.column(0)[i].as_py(), "<u8")
                 found = list(phrases(ids, steps))
                 if words_too:
-                    keys = np.frombuffer(batch.column(1)[i].as_py(), "<u8")
+                    lang, sums, words = (batch.column(c)[i].as_py() for c in (1, 2, 3))
+                    sums = np.frombuffer(sums, "<i8")
+                    keys = _keys(lang, words.split(b"\n") if len(sums) else [])
                     zeros = np.zeros(len(keys), np.uint64)
-                    found.append((zeros.astype(np.int8) + np.int8(1), keys, zeros, np.frombuffer(
-                        batch.column(2)[i].as_py(), "<i8"), zeros))
+                    found.append((zeros.astype(np.int8) + np.int8(1), keys, zeros, sums, zeros))
                 if found:
                     k, a, b, n, start = (np.concatenate(c) for c in zip(*found))
                     yield pa.RecordBatch.from_arrays(
@@ -198,7 +205,8 @@ def _scan(blocks: DataFrame, scan: int, steps: list[np.ndarray], shards: int,
                         names=[c.split()[0] for c in COUNTS.split(", ")])
 
     shard = blocks.filter(F.col("shard") == (scan - 1) % shards)
-    return shard.select("ids", "keys", "sums").mapInArrow(rows, COUNTS)
+    read = ("ids", "lang", "sums", "words") if words_too else ("ids",)
+    return shard.select(*read).mapInArrow(rows, COUNTS)
 
 
 def _id(k: Column, a: Column, b: Column) -> Column:
@@ -215,20 +223,29 @@ def _reached(counts: DataFrame, slots: int, longest: int) -> list[dict]:
             .toArrow().to_pylist())
 
 
+def _saved(df: DataFrame, place: str, mode: str = "error") -> DataFrame:
+    df.write.mode(mode).option("compression", "zstd").parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 def frequent_phrases(blocks: DataFrame, tokens: int, threshold: int = THRESHOLD,
                      longest: int = LONGEST, shards: int = SHARDS) -> tuple[DataFrame, np.ndarray]:
     """``k, a, b, n`` of all phrases of up to ``longest`` words with ``n >= threshold``, and the
     table of words that reached it."""
     slots = _slots(tokens, threshold)
     steps = [np.full(slots, NEVER, np.uint8) for _ in range(longest - 1)]
-    under_way, complete, scan, last = None, [], 0, 0
+    spark = blocks.sparkSession
+    folder = f"{shared_folder(spark)}/counts-{uuid.uuid4().hex}"
+    store, root = fs.FileSystem.from_uri(folder)
+    under_way, scan, last = None, 0, 0
     while scan < last + shards:
         scan += 1
         found = _scan(blocks, scan, steps, shards, longest).withColumn("before", F.lit(0))
         if under_way is not None:
             found = found.unionByName(under_way.withColumn("before", F.col("n")))
-        counts = written(found.groupBy("k", "a", "b").agg(
-            F.sum("n").alias("n"), F.min("start").alias("start"), F.sum("before").alias("before")))
+        counts = _saved(found.groupBy("k", "a", "b").agg(
+            F.sum("n").alias("n"), F.min("start").alias("start"),
+            F.sum("before").alias("before")), f"{folder}/scan-{scan}")
         for row in _reached(counts.filter((F.col("n") >= threshold)
                                           & (F.col("before") < threshold)), slots, longest):
             begin = (row["bucket"] - 1) << 15
@@ -237,9 +254,16 @@ def frequent_phrases(blocks: DataFrame, tokens: int, threshold: int = THRESHOLD,
             step[(bits[:len(step)] > 0) & (step == NEVER)] = scan
             last = scan
         over = F.col("start") + shards <= scan
-        complete.append(counts.filter(over & (F.col("n") >= threshold)).select("k", "a", "b", "n"))
+        _saved(counts.filter(over & (F.col("n") >= threshold)).select("k", "a", "b", "n"),
+               f"{folder}/complete", "append")
         under_way = counts.filter(~over).select("k", "a", "b", "n", "start")
-    return written(reduce(DataFrame.unionByName, complete)), steps[0]
+        # Only the last table of what is under way is read again; the one before goes, and so do
+        # the shuffle files that made it.
+        if scan > 1:
+            store.delete_dir(f"{root}/scan-{scan - 1}")
+        release(spark)
+    found = spark.read.schema("k byte, a long, b long, n long").parquet(f"{folder}/complete")
+    return found, steps[0]
 
 
 def _words(blocks: DataFrame, step: np.ndarray) -> DataFrame:
@@ -249,17 +273,17 @@ def _words(blocks: DataFrame, step: np.ndarray) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = shared.value
         for batch in batches:
-            for lang, keys, words in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                keys = np.frombuffer(keys, "<u8")
+            for lang, words in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                found = words.split(b"\n") if words else []
+                keys = _keys(lang, found)
                 at = np.flatnonzero(step[(keys & np.uint64(len(step) - 1)).astype(np.int64)]
                                     < NEVER)
-                found = words.split(b"\n")
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys[at].view(np.int64)), pa.array([lang] * len(at), pa.string()),
                      pa.array([found[i].decode("utf-8", "replace") for i in at.tolist()],
                               pa.string())], names=["id", "lang", "word"])
 
-    return (blocks.select("lang", "keys", "words").mapInArrow(
+    return (blocks.select("lang", "words").mapInArrow(
         rows, "id long, lang string, word string").distinct()
         .groupBy("id").agg(F.min("lang").alias("lang"), F.min("word").alias("word")))
 
