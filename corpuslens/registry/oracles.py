@@ -316,7 +316,8 @@ vocab AS MATERIALIZED (
 
 
 def _mode(case: int, hits: str, source: str, counters: str, said: str) -> str:
-    return (f"SELECT {case} AS case_id, {hits} AS hits, '{source}' AS source, {counters}, "
+    return (f"SELECT {case} AS case_id, {hits} AS hits, "
+            f"CASE WHEN {hits} > 0 THEN '{source}' ELSE '' END AS source, {counters}, "
             f"'{said}' AS said FROM seen")
 
 
