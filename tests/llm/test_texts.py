@@ -150,8 +150,10 @@ def family_texts():
     return texts
 
 
-def test_jaccard_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("fetched", [0, 1000])
+def test_jaccard_equals_brute_force(spark, monkeypatch, fetched):
     monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "FETCHED", fetched)
     texts = family_texts()
     docs = spark.createDataFrame(list(texts.items()) + [(0, texts[0])], DOCS)
     docs = docs.withColumn("key", F.lit(1)).withColumn("size", F.lit("x"))
@@ -161,6 +163,73 @@ def test_jaccard_equals_brute_force(spark, monkeypatch):
     assert len(found) == len(texts)
 
 
+def test_sets_that_link_share_a_signature():
+    rng = np.random.default_rng(3)
+    for size in [1, 2, 3, 4, 5, 7, 8, 15, 16, 21, 63, 64, 85, 128, 300, 1000]:
+        for _ in range(20):
+            a = rng.integers(0, 2 ** 64, size, np.uint64)
+            gone, come = (int(rng.integers(0, size // 3 + 1)) for _ in range(2))
+            b = np.concatenate([a[gone:], rng.integers(0, 2 ** 64, come, np.uint64)])
+            if not len(b) or 100 * (size - gone) < 75 * (size + come):
+                continue
+            made = jaccard.signatures([np.sort(a), np.sort(b)])
+            met = {}
+            for which, instance, spare, sigs in made:
+                met.setdefault(instance, {})[which] = spare, set(sigs.tolist())
+            both = [list(m.values()) for m in met.values() if len(m) == 2]
+            assert any(len(x & y) >= max(1, p, q) for (p, x), (q, y) in both), size
+
+
+def test_sets_apart_share_few_signatures():
+    rng = np.random.default_rng(4)
+    shared = rng.integers(0, 2 ** 64, 60, np.uint64)
+    a, b = (np.sort(np.concatenate([shared, rng.integers(0, 2 ** 64, 400, np.uint64)]))
+            for _ in range(2))
+    made = jaccard.signatures([a, b])
+    sigs = [np.concatenate([s for w, _, _, s in made if w == i]) for i in range(2)]
+    assert len(np.intersect1d(*sigs)) < len(sigs[0]) / 50
+
+
+def test_block_pairs_are_dealt_by_pair_of_blocks(spark):
+    members = spark.createDataFrame(
+        [], "place long, key long, component long, size int, sketch array<bigint>")
+    plan = jaccard._block_pairs(members)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [place" in plan.replace("#", " ").replace("  ", " ")
+    assert plan.count("RepartitionByExpression") == 2
+
+
+def test_buckets_that_batches_cut(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 1, 2, 3, rng.randrange(4, 60)]), rng.randrange(20), 8, 3, None)
+            for _ in range(200)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        met = jaccard._met(spark.createDataFrame(
+            rows, "sig long, key long, instance int, spare int, doc_id long")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    buckets = {}
+    for sig, key, *_ in rows:
+        buckets.setdefault(sig, set()).add(key)
+    large = sorted((s, k) for s, keys in buckets.items() if len(keys) > jaccard.FEW for k in keys)
+    pairs = sorted((a, b) for keys in buckets.values() if len(keys) <= jaccard.FEW
+                   for a in keys for b in keys if a < b)
+    assert large and pairs
+    assert sorted((r["sig"], r["key"]) for r in met if r["kind"] == jaccard.LARGE) == large
+    assert sorted((r["other"], r["key"]) for r in met if r["kind"] == jaccard.PAIR) == pairs
+
+
+def test_jaccard_of_rows_without_ids_and_ids_with_two_texts(spark):
+    text = words(60, 1, 10_000)
+    docs = spark.createDataFrame(
+        [(None, " ".join(text)), (None, None), (1, " ".join(text)), (1, "one two"),
+         (2, "one two"), (3, " ".join(text))], DOCS)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"])
+             for r in jaccard.near_duplicates(docs).collect()}
+    assert found[3] == (56, 1) and found[1] == (56, 1) and found[2] == (1, 1)
+    assert set(found) == {None, 1, 2, 3}
+
+
 def test_jaccard_of_an_empty_table(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
