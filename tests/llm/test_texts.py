@@ -200,12 +200,12 @@ def test_block_pairs_are_dealt_by_pair_of_blocks(spark):
 
 def test_buckets_that_batches_cut(spark):
     rng = random.Random(5)
-    rows = [(rng.choice([1, 1, 2, 3, rng.randrange(4, 60)]), rng.randrange(20), 8, 3, None)
+    rows = [(rng.choice([1, 1, 2, 3, rng.randrange(4, 60)]), rng.randrange(20), jaccard.tag(8, -3))
             for _ in range(200)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
     try:
         met = jaccard._met(spark.createDataFrame(
-            rows, "sig long, key long, instance int, spare int, doc_id long")).collect()
+            rows, "sig long, key long, tag long")).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     buckets = {}
@@ -215,7 +215,8 @@ def test_buckets_that_batches_cut(spark):
     pairs = sorted((a, b) for keys in buckets.values() if len(keys) <= jaccard.FEW
                    for a in keys for b in keys if a < b)
     assert large and pairs
-    assert sorted((r["sig"], r["key"]) for r in met if r["kind"] == jaccard.LARGE) == large
+    assert {(r["instance"], r["spare"]) for r in met} == {(8, -3)}
+    assert sorted({(r["sig"], r["key"]) for r in met if r["kind"] == jaccard.LARGE}) == large
     assert sorted((r["other"], r["key"]) for r in met if r["kind"] == jaccard.PAIR) == pairs
 
 
