@@ -218,7 +218,7 @@ def suffix_of(host: Column) -> Column:
 
 
 def declared_in(html: Column) -> Column:
-    """The primary language that the opening tag declares, in lower case."""
-    found = F.lower(F.regexp_extract(
-        html, r"(?i)<html\b[^>]{0,2000}?\blang\s*=\s*[\"']?([a-z]{2,3})\b", 1))
+    """The primary language that the opening tag, whatever its length, declares, in lower case."""
+    tag = F.regexp_extract(html, r"(?i)<html\b([^>]*)", 1)
+    found = F.lower(F.regexp_extract(tag, r"(?i)\blang\s*=\s*[\"']?([a-z]{2,3})\b", 1))
     return F.when(found != "", found)

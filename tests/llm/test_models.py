@@ -227,3 +227,12 @@ def test_toxicity_keeps_natural_shares_where_the_sample_is_even(spark):
         assert model.slot[vile] >= 0 > model.slot[edgy]
         said = {r["doc_id"]: r["toxic"] for r in toxicity.grade_documents(texts, model).collect()}
         assert np.mean([said[i] for i, _ in rows if i % 20]) < 0.01
+
+
+def test_declared_language_of_long_tags(spark):
+    pages = [("<html data-x='" + "y" * 5000 + "' lang='FR'><p lang=de>", "fr"),
+             ("<HTML LANG=en-GB>", "en"), ("<html><p lang=de>", None), ("no tag", None), (None, None),
+             ("<html " + "a " * 500_000, None)]
+    df = spark.createDataFrame(pages, "html string, wanted string")
+    for row in df.select(language.declared_in(F.col("html")).alias("found"), "wanted").collect():
+        assert row["found"] == row["wanted"]
