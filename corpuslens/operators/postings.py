@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpuslens.functions.scoring import length_norm, tf
 from corpuslens.functions.text import case_tokens, kept, lowered, postings_of_doc
 from corpuslens.operators.bounded import hinted, settle
 from corpuslens.schema import FIELD, FIELD_CASE
@@ -46,9 +47,11 @@ def postings(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(entries: DataFrame) -> DataFrame:
-    """``field, term, df, cf``; counts combine before the shuffle, so frequent terms are no skew."""
+    """``field, term, df, cf, top``; counts combine before the shuffle, so frequent terms are no
+    skew. ``top`` is the most that a document has of the term in its score, before the weight."""
     return entries.groupBy("field", "term").agg(
-        F.count("*").alias("df"), F.sum("tf").alias("cf"))
+        F.count("*").alias("df"), F.sum("tf").alias("cf"),
+        F.max(tf(F.col("tf")) * length_norm(F.col("doc_len"))).alias("top"))
 
 
 def document_lengths(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from corpuslens.operators.versions import chain, latest, publish, version_path
 DOCS = "doc_id bigint, path string, text string, mtime_us bigint"
 POSTINGS = ("field string, term string, doc_id bigint, tf int, positions array<int>, "
             "doc_len int")
-VOCAB = "field string, term string, df bigint, cf bigint"
+VOCAB = "field string, term string, df bigint, cf bigint, top double"
 REMOVED = "doc_id bigint, layer int"
 SORTED_BY = {
     "docs": ("doc_id",),
@@ -68,11 +68,19 @@ class Index:
 
     def terms(self, entries: DataFrame | None = None) -> DataFrame:
         """``field, term, df, cf`` with one row per term in use; of some vocabulary rows only."""
-        rows = self.vocab if entries is None else entries
+        return self.bounds(self.vocab if entries is None else entries).drop("top")
+
+    def bounds(self, entries: DataFrame) -> DataFrame:
+        """``terms`` with ``top``: no live document has more of the term in its score, before the
+        weight. It stays when the document goes that had so much; 1 where it is not known, as
+        ``sqrt(tf / len)`` is never more."""
+        top = F.when(F.col("df") > 0, F.coalesce("top", F.lit(1.0))).alias("top")
+        rows = entries.select("field", "term", "df", "cf", top)
         if not self.signed:
             return rows
         return (rows.groupBy("field", "term")
-                .agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).filter("df > 0"))
+                .agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.max("top").alias("top"))
+                .filter("df > 0"))
 
 
 def as_documents(docs: DataFrame) -> DataFrame:

@@ -134,7 +134,8 @@ def removed_counts(prev: Index, gone: DataFrame, rows: list[dict] | None = None)
     """
     docs = among(prev.docs.select("doc_id", "text"), "doc_id", rows)
     counts = vocabulary(postings(docs.join(hinted(gone, rows), "doc_id", "left_semi")))
-    return counts.withColumns({"df": -F.col("df"), "cf": -F.col("cf")})
+    return counts.withColumns({"df": -F.col("df"), "cf": -F.col("cf"),
+                               "top": F.lit(None).cast("double")})
 
 
 def refresh_saved(spark: SparkSession, root: str, files: DataFrame, read: Reader | None = None,

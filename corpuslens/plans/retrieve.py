@@ -5,6 +5,11 @@
    clauses, phrases, score. On a saved index these groups lie within a bucket, so nothing is
    shuffled; otherwise matched rows are shuffled once.
 3. Only the best k hits of a query are joined with paths and texts.
+
+Where that saves much, the documents of a query's rarest words are found first, and only their
+rows of the frequent words are read. A query of words that may all be missing is then checked: if
+the words left out cannot lift a document to the k-th score found, the hits are final; else it is
+run again, led by all words that the bound does not rule out (``plans/early.py``).
 """
 
 from __future__ import annotations
@@ -18,14 +23,17 @@ from pyspark.sql import functions as F
 from corpuslens.functions.scoring import SCORE_PLACES, idf, length_norm, tf
 from corpuslens.functions.snippet import snippet
 from corpuslens.functions.text import blank
-from corpuslens.operators.bounded import among, hinted, settle
+from corpuslens.operators.bounded import SPELLED_VALUES, among, hinted, settle
 from corpuslens.operators.clauses import MUST, NOT, SHOULD, query_clauses, query_errors
 from corpuslens.operators.fuzzy import expansions
+from corpuslens.plans import early
 from corpuslens.plans.index import Index
 from corpuslens.schema import SOURCE_INDEX
 
 # With fewer rows than this a second pass over the postings costs more than it saves.
 WORTH_LEADING = 20_000_000
+# With fewer rows than this to spare, looking the documents up first costs more than it saves.
+WORTH_NAMING = 2_000_000
 CLAUSE = ["query_id", "k", "kind", "field", "n_must", "n_counted", "slot", "occur"]
 
 
@@ -36,9 +44,10 @@ def _exact_terms(index: Index, clauses: DataFrame, rows: list[dict] | None) -> D
     wanted = tokens.select("field", "term")
     asked = None if rows is None else [t for row in rows for t in row["tokens"]]
     entries = among(among(index.vocab, "field", rows), "term", asked)
-    known = index.terms(entries.join(hinted(wanted, asked), ["field", "term"], "left_semi"))
+    known = index.bounds(entries.join(hinted(wanted, asked), ["field", "term"], "left_semi"))
     return (tokens.join(hinted(known, asked), ["field", "term"], "left")
             .withColumn("df", F.coalesce("df", F.lit(0)))
+            .withColumn("top", F.coalesce("top", F.lit(0.0)))
             .withColumn("boost", F.lit(1.0)))
 
 
@@ -47,7 +56,8 @@ def _fuzzy_terms(index: Index, clauses: DataFrame) -> DataFrame:
     words = clauses.filter("kind = 'fuzzy'").select(*CLAUSE, "word")
     found = expansions(index.vocab, words.select("field", "word").distinct())
     return (words.join(found, ["field", "word"])
-            .withColumn("need", F.lit(1)).withColumn("offset", F.lit(0)))
+            .withColumn("need", F.lit(1)).withColumn("offset", F.lit(0))
+            .withColumn("top", F.lit(1.0)))
 
 
 def weighted_terms(index: Index, queries: DataFrame) -> tuple[DataFrame, list[dict] | None]:
@@ -63,7 +73,7 @@ def weighted_terms(index: Index, queries: DataFrame) -> tuple[DataFrame, list[di
         parts.append(_exact_terms(index, clauses, rows))
     if "fuzzy" in kinds:
         parts.append(_fuzzy_terms(index, clauses))
-    columns = [*CLAUSE, "need", "term", "offset", "df", "boost"]
+    columns = [*CLAUSE, "need", "term", "offset", "df", "top", "boost"]
     terms = parts[0].select(columns)
     for part in parts[1:]:
         terms = terms.unionByName(part.select(columns))
@@ -78,7 +88,8 @@ def weighted_terms(index: Index, queries: DataFrame) -> tuple[DataFrame, list[di
         F.col("idf") * F.col("idf") * F.col("boost")) * norm
     return settle(terms.select(
         "query_id", "k", "kind", "field", "term", "slot", "need", "offset", "n_must",
-        "n_counted", "df", _leads().alias("lead"), F.when(F.col("occur") == NOT, 0.0).otherwise(weight).alias("weight"),
+        "n_counted", "df", "top", _leads().alias("lead"),
+        F.when(F.col("occur") == NOT, 0.0).otherwise(weight).alias("weight"),
         *[(F.col("occur") == o).cast("int").alias(f"is_{o}") for o in (MUST, SHOULD, NOT)]))
 
 
@@ -110,24 +121,41 @@ def leads_pay(rows: list[dict] | None, n_docs: int) -> bool:
     return direct >= WORTH_LEADING and 2 * (read + led) < direct
 
 
+def few_led(rows: list[dict] | None) -> bool:
+    """Whether so few documents can match that naming them saves most of the postings."""
+    if rows is None:
+        return False
+    led = sum(r["df"] for r in rows if r["lead"])
+    return led <= SPELLED_VALUES and sum(r["df"] for r in rows) - led >= WORTH_NAMING
+
+
 def term_matches(index: Index, layer: DataFrame, terms: DataFrame,
                  rows: list[dict] | None) -> DataFrame:
     """Postings of the query terms. Few terms reach the Parquet reader as a filter.
 
     A frequent term that many queries share would multiply its postings by the queries; where
     ``leads_pay``, only documents with a query's leading term are joined with its other terms.
+    Where these are few (``few_led``), their ids are looked up first and reach the reader too: it
+    then opens their buckets, and of these the pages that hold them, as a term's rows are in the
+    order of the ids.
     """
     def postings_of(wanted: list[dict] | None) -> DataFrame:
         return among(among(layer, "field", wanted), "term", wanted)
 
-    if leads_pay(rows, index.n_docs):
+    def candidates() -> DataFrame:
         leading = None if rows is None else [r for r in rows if r["lead"]]
         leads = terms.filter("lead").select("query_id", "field", "term")
-        candidates = (postings_of(leading).join(hinted(leads, rows), ["field", "term"])
-                      .select("query_id", "doc_id").distinct())
+        return (postings_of(leading).join(hinted(leads, rows), ["field", "term"])
+                .select("query_id", "doc_id").distinct())
+
+    if few_led(rows):
+        named, ids = settle(candidates())
+        found = (among(postings_of(rows), "doc_id", ids).join(hinted(named, ids), "doc_id")
+                 .join(hinted(terms, rows), ["query_id", "field", "term"]))
+    elif leads_pay(rows, index.n_docs):
         asked = terms.select("field", "term").distinct()
         found = (postings_of(rows).join(hinted(asked, rows), ["field", "term"], "left_semi")
-                 .join(candidates.hint("shuffle_hash"), "doc_id")
+                 .join(candidates().hint("shuffle_hash"), "doc_id")
                  .join(hinted(terms, rows), ["query_id", "field", "term"]))
     else:
         found = postings_of(rows).join(hinted(terms, rows), ["field", "term"])
@@ -234,7 +262,24 @@ def ranked_documents(index: Index, queries: DataFrame) -> DataFrame:
     Queries with an error have no rows; ``query_errors`` names them.
     """
     terms, rows = weighted_terms(index, queries)
-    return top_hits(scored(index, terms, rows), terms, rows)
+    probe = early.probe(rows)
+    if probe is None or not (few_led(probe) or leads_pay(probe, index.n_docs)):
+        return top_hits(scored(index, terms, rows), terms, rows)
+    hits, found = settle(_hits(index, terms, probe))
+    if found is None:
+        return top_hits(scored(index, terms, rows), terms, rows)
+    again = early.undecided(probe, found)
+    if not again:
+        return hits
+    late = F.col("query_id").isin(sorted({r["query_id"] for r in again}))
+    return hits.filter(~late).unionByName(_hits(index, terms, again))
+
+
+def _hits(index: Index, terms: DataFrame, rows: list[dict]) -> DataFrame:
+    """The best hits for given term rows, which are few."""
+    some = terms.sparkSession.createDataFrame(
+        [tuple(r[c] for c in terms.columns) for r in rows], terms.schema)
+    return top_hits(scored(index, some, rows), some, rows)
 
 
 def fetch(index: Index, hits: DataFrame, rows: list[dict] | None,

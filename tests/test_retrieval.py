@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslens import SearchOptions, build_index, index_search, ranked_documents, search
+from corpuslens.functions.scoring import length_norm
 from corpuslens.operators import bounded, fuzzy
 from corpuslens.operators.clauses import query_clauses, query_errors, query_table, read_queries
 from corpuslens.operators.fuzzy import expansions, near_terms
-from corpuslens.plans import coordinator, refresh, retrieve
+from corpuslens.plans import coordinator, early, refresh, retrieve
 from corpuslens.plans.index import refuse_shared_ids, save_index
 from corpuslens.registry.inputs import ALL_QUERIES
 from corpuslens.sources.tables import with_metadata
@@ -335,7 +336,7 @@ def test_removed_counts_read_no_postings(spark, tmp_path):
         assert read == {"docs", "removed"}
         assert ("In(doc_id, [3,7])" in _plan(lost)) == (ids is not None)
         expected = index.postings.filter("doc_id in (3, 7)").groupBy("field", "term").agg(
-            (-F.count("*")).alias("df"), (-F.sum("tf")).alias("cf"))
+            (-F.count("*")).alias("df"), (-F.sum("tf")).alias("cf"), F.lit(None).alias("top"))
         assert sorted(map(tuple, lost.collect())) == sorted(map(tuple, expected.collect()))
 
 
@@ -361,3 +362,76 @@ def test_buckets_follow_the_bytes(spark, tmp_path):
     assert plans.bucket_count(spark, 1 << 40) == 4096
     saved = save_index(spark, _docs(spark, "one", "two"), str(tmp_path / "small"))
     assert saved.postings.rdd.getNumPartitions() == 1
+
+
+def _or_batch(spark, k):
+    texts = ["the OR rare", "rare OR the OR of", "the OR of", "with OR the NOT rare",
+             "getz-rare OR the OR of", "rare OR nowhere", "of OR of OR rare", "the OR der"]
+    return query_table(spark, [(i, t, False, False, False, k) for i, t in enumerate(texts)])
+
+
+@pytest.mark.parametrize("k", [1, 3, 10, 500])
+def test_early_top_k_equals_the_plain_way(spark, monkeypatch, tmp_path, k):
+    random.seed(k)
+    texts = [" ".join(random.choices(
+        "the of with der getz rare".split(), [60, 40, 10, 8, 3, 1], k=random.randint(1, 25)))
+        for _ in range(150)]
+    saved = save_index(spark, _docs(spark, *texts), str(tmp_path / "index"), buckets=3)
+    queries = _or_batch(spark, k)
+    expected = sorted(tuple(r) for r in ranked_documents(saved, queries).collect())
+    assert {r[0] for r in expected} >= set(range(8))
+    monkeypatch.setattr(retrieve, "WORTH_NAMING", 0)
+    assert sorted(tuple(r) for r in ranked_documents(saved, queries).collect()) == expected
+    monkeypatch.setattr(retrieve, "few_led", lambda rows: False)
+    monkeypatch.setattr(retrieve, "leads_pay", lambda rows, n_docs: True)
+    assert sorted(tuple(r) for r in ranked_documents(saved, queries).collect()) == expected
+
+
+def _term_rows(index, queries):
+    return retrieve.weighted_terms(index, queries)[1]
+
+
+def test_frequent_words_lead_only_if_they_can_reach_the_hits(spark):
+    index = build_index(_docs(spark, *["the of"] * 90, *["rare the x y"] * 5, *["the"] * 5))
+    rows = _term_rows(index, _plain(spark, "the OR rare", k=2))
+    led = early.probe(rows)
+    assert {r["term"] for r in led if r["lead"]} == {"rare"}
+    best = ranked_documents(index, _plain(spark, "the OR rare", k=2)).collect()
+    assert early.undecided(led, [r.asDict() for r in best]) == []
+    # Fewer hits than asked for, or hits below the bound, decide nothing.
+    for found in ([], [{"query_id": 1, "score": 0.0}] * 2):
+        again = early.undecided(led, found)
+        assert {r["term"] for r in again if r["lead"]} == {"rare", "the"}
+    assert early.probe(_term_rows(index, _plain(spark, "the rare"))) is None
+    assert early.probe(_term_rows(index, _plain(spark, "rare", phrase=True))) is None
+    assert early.probe(None) is None
+
+
+def test_bounds_hold_after_refreshes(spark, tmp_path):
+    index, _ = _stepped(spark, str(tmp_path / "steps"), 3)
+    share = F.sqrt(F.col("tf").cast("double")) * length_norm(F.col("doc_len"))
+    most = index.postings.groupBy("field", "term").agg(F.max(share).alias("most"))
+    joined = most.join(index.bounds(index.vocab), ["field", "term"]).collect()
+    assert len(joined) == index.terms().count() and all(r["top"] >= r["most"] for r in joined)
+    unknown = index.bounds(index.vocab.withColumn("top", F.lit(None).cast("double")))
+    assert {r["top"] for r in unknown.collect()} == {1.0}
+
+
+def test_named_documents_reach_the_reader(spark, monkeypatch, tmp_path):
+    """Postings of a frequent word are read only for the documents of the rare one."""
+    monkeypatch.setattr(retrieve, "WORTH_NAMING", 0)
+    docs = _docs(spark, *["the rare" if i % 40 == 7 else "the of" for i in range(200)])
+    saved = save_index(spark, docs, str(tmp_path / "index"), buckets=4)
+    for text in ("the rare", "the OR rare"):
+        terms, rows = retrieve.weighted_terms(saved, _plain(spark, text, k=2))
+        found = retrieve.term_matches(saved, saved.postings, terms, early.probe(rows) or rows)
+        if text == "the rare":
+            spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+            plan = _plan(found)
+            spark.conf.unset("spark.sql.maxMetadataStringLength")
+            assert "In(doc_id, [127,167,47,7,87])" in plan
+            assert "Exchange hashpartitioning" not in plan
+            assert sorted({r["doc_id"] for r in found.collect()}) == [7, 47, 87, 127, 167]
+        else:
+            assert [r["doc_id"] for r in ranked_documents(
+                saved, _plain(spark, text, k=2)).orderBy("rank").collect()] == [7, 47]
