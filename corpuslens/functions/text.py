@@ -8,15 +8,36 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The word pattern (an approximation of the Unicode word-break rules, in Java
-# regular expression syntax), the longest token kept, and the white space that splits a query.
-WORD = r"[\p{L}\p{M}\p{Nd}_&&[^\p{IsHan}\p{IsHiragana}]]+"
-TOKEN = (
-    r"[\p{IsHan}\p{IsHiragana}]|" + WORD
-    + r"(?:(?:(?<=[\p{L}\p{M}])[.:\x{B7}\x{2019}\x27](?=\p{L})"
-    + r"|(?<=\p{Nd})[.,;\x{2019}\x27](?=\p{Nd}))" + WORD + ")*"
-)
+# The longest token kept, and the classes of the Unicode word-break rules, in Java
+# regular expression syntax: what is a word of its own, runs of Katakana, and what joins two
+# letters, two digits or either.
 MAX_TOKEN = 255
+SINGLE = r"\p{IsHan}\p{IsHiragana}"
+KATAKANA = r"\p{IsKatakana}\x{3031}-\x{3035}\x{309B}\x{309C}\x{30A0}\x{30FC}\x{FF70}"
+MID_BOTH = r".\x{27}\x{2018}\x{2019}\x{2024}\x{FE52}\x{FF07}\x{FF0E}"
+MID_LETTER = r":\x{B7}\x{387}\x{55F}\x{5F4}\x{2027}\x{FE13}\x{FE55}\x{FF1A}"
+MID_NUMBER = (r",;\x{37E}\x{589}\x{60C}\x{60D}\x{66C}\x{7F8}\x{2044}\x{FE10}\x{FE14}\x{FE50}"
+              r"\x{FE54}\x{FF0C}\x{FF1B}")
+# Letters, digits, marks and underscores; a run of Katakana; what stands between two of the first.
+# Cheap tests come first, as looking up a character's script is slow.
+EAST_ASIAN = r"(?![\x00-\x{2E7F}])"
+ALNUM = rf"[A-Za-z0-9_[\p{{L}}\p{{M}}\p{{Nd}}&&[^{SINGLE}{KATAKANA}]]]++"
+KANA = rf"{EAST_ASIAN}[{KATAKANA}][{KATAKANA}\p{{M}}]*+"
+JOINER = (rf"(?=[{MID_BOTH}{MID_LETTER}{MID_NUMBER}\x{{22}}])"
+          rf"(?:(?<=[\p{{L}}\p{{M}}])[{MID_BOTH}{MID_LETTER}](?=\p{{L}})"
+          rf"|(?<=\p{{Nd}})[{MID_BOTH}{MID_NUMBER}](?=\p{{Nd}})"
+          r"|(?<=\p{IsHebrew})\x{22}(?=\p{IsHebrew}))")
+# The matcher's stack grows with the parts of a word, so they are bounded: a word with more is too
+# long to be kept, and the rest of it comes as words that begin with a joiner. A Hebrew letter may
+# be followed by a quote.
+MORE = (rf"(?:{JOINER}{ALNUM}|(?=_){ALNUM}|{EAST_ASIAN}(?<=_){KANA}){{0,{MAX_TOKEN + 1}}}"
+        r"(?:\x{27}(?<=\p{IsHebrew}\x{27}))?")
+TOKEN = (rf"{ALNUM}{MORE}|{EAST_ASIAN}[{SINGLE}]\p{{M}}*+|{KANA}{MORE}"
+         rf"|{JOINER}{ALNUM}{MORE}")
+JOINERS = re.sub(r"\\x\{(\w+)\}", lambda code: chr(int(code[1], 16)),
+                 MID_BOTH + MID_LETTER + MID_NUMBER + r"\x{22}")
+LONG = rf"\S{{{MAX_TOKEN + 1}}}"
+# The white space that splits a query.
 TERM_SPACE = r"[ \t\r\n]+"
 WORD_SPACE = r"[ \t\r\n\x{3000}]+"
 
@@ -33,7 +54,10 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def case_tokens(text: Column) -> Column:
     """Tokens of a text with their case kept, in order; an over-long token still holds its place."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+    whole = F.coalesce(text, F.lit(""))
+    found = F.regexp_extract_all(whole, F.lit(TOKEN), F.lit(0))
+    rest = F.filter(found, lambda word: ~F.contains(F.lit(JOINERS), F.substring(word, 1, 1)))
+    return F.when(F.rlike(whole, F.lit(LONG)), rest).otherwise(found)
 
 
 def lower_tokens(text: Column) -> Column:
@@ -57,6 +81,24 @@ def kept(token: Column) -> Column:
     return F.length(token) <= MAX_TOKEN
 
 
+def _runs(rows: Column, positions: Callable[[Column, Column], Column]) -> Column:
+    """One group for each run of sorted rows with one term; ``positions(start, size)`` are its."""
+    n = F.size(rows)
+
+    def term_at(i: Column) -> Column:
+        return F.get(rows, i)["term"]
+
+    starts = F.filter(
+        F.sequence(F.lit(0), n - 1),
+        lambda i: ~term_at(i - 1).eqNullSafe(term_at(i)),
+    )
+    groups = bind(starts, lambda s: F.transform(s, lambda start, j: F.struct(
+        term_at(start).alias("term"),
+        positions(start, F.coalesce(F.get(s, j + 1), n) - start).alias("positions"),
+    )))
+    return F.when(n == 0, F.array().cast(POSTINGS_OF_DOC)).otherwise(groups)
+
+
 def postings_of_doc(tokens: Column) -> Column:
     """Group one document's tokens by term, with ascending positions, inside the row.
 
@@ -68,27 +110,24 @@ def postings_of_doc(tokens: Column) -> Column:
         F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("pos"))),
         lambda p: kept(p["term"]),
     )
+    return bind(F.sort_array(pairs), lambda rows: _runs(rows, lambda start, size: F.transform(
+        F.slice(rows, start + 1, size), lambda p: p["pos"])))
+
+
+def folded_postings(groups: Column) -> Column:
+    """The groups of a document's tokens, merged where their terms are one in lower case. Only
+    distinct terms are lower-cased and sorted, not the tokens once more."""
+    small_ones = F.transform(groups, lambda g: F.struct(
+        small(g["term"]).alias("term"), g["positions"].alias("positions")))
+
+    def merged(rows: Column) -> Column:
+        def positions(start: Column, size: Column) -> Column:
+            several = F.transform(F.slice(rows, start + 1, size), lambda g: g["positions"])
+            return F.when(size == 1, F.get(rows, start)["positions"]).otherwise(
+                F.sort_array(F.flatten(several)))
+        return _runs(rows, positions)
 
-    def cut(sorted_pairs: Column) -> Column:
-        n = F.size(sorted_pairs)
-
-        def term_at(i: Column) -> Column:
-            return F.get(sorted_pairs, i)["term"]
-
-        starts = F.filter(
-            F.sequence(F.lit(0), n - 1),
-            lambda i: ~term_at(i - 1).eqNullSafe(term_at(i)),
-        )
-        groups = bind(starts, lambda s: F.transform(s, lambda start, j: F.struct(
-            term_at(start).alias("term"),
-            F.transform(
-                F.slice(sorted_pairs, start + 1, F.coalesce(F.get(s, j + 1), n) - start),
-                lambda p: p["pos"],
-            ).alias("positions"),
-        )))
-        return F.when(n == 0, F.array().cast(POSTINGS_OF_DOC)).otherwise(groups)
-
-    return bind(F.sort_array(pairs), cut)
+    return bind(F.sort_array(small_ones), merged)
 
 
 def lines(text: Column) -> Column:

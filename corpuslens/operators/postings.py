@@ -7,7 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslens.functions.scoring import length_norm, tf
-from corpuslens.functions.text import case_tokens, kept, lowered, postings_of_doc
+from corpuslens.functions.text import (
+    bind,
+    case_tokens,
+    folded_postings,
+    kept,
+    lowered,
+    postings_of_doc,
+)
 from corpuslens.operators.bounded import hinted, settle
 from corpuslens.schema import FIELD, FIELD_CASE
 
@@ -27,15 +34,12 @@ def token_rows(docs: DataFrame, field: str) -> DataFrame:
 def postings(docs: DataFrame) -> DataFrame:
     """``field, term, doc_id, tf, positions, doc_len``: one row per term of a document.
 
-    A map over documents, without a shuffle: each row's tokens are grouped inside the row. The
-    document length rides along, so that scoring needs no join to fetch it.
+    A map over documents, without a shuffle: each row's tokens are grouped inside the row, once;
+    the groups of the lower-case field are merged from those with the case kept. The document length rides along, so that scoring needs no join to fetch it.
     """
-    fields = F.array(
-        F.struct(F.lit(FIELD).alias("field"),
-                 postings_of_doc(lowered(F.col("tokens"))).alias("terms")),
-        F.struct(F.lit(FIELD_CASE).alias("field"),
-                 postings_of_doc(F.col("tokens")).alias("terms")),
-    )
+    fields = bind(postings_of_doc(F.col("tokens")), lambda groups: F.array(
+        F.struct(F.lit(FIELD).alias("field"), folded_postings(groups).alias("terms")),
+        F.struct(F.lit(FIELD_CASE).alias("field"), groups.alias("terms"))))
     per_field = tokenised(docs).select(
         "doc_id", F.size(F.filter("tokens", kept)).alias("doc_len"),
         F.explode(fields).alias("entry"))

@@ -226,3 +226,41 @@ def test_default_options():
     assert SearchOptions(content_search_mode="nonsense").mode() == "auto"
     assert SearchOptions(content_search_mode="INDEX").mode() == "index"
     assert len(DEFAULT_EXTENSIONS) == 36
+
+
+@pytest.mark.parametrize("text, words", [
+    ("\u30ab\u30bf\u30ab\u30ca abc\u30ab\u30ca", ["\u30ab\u30bf\u30ab\u30ca", "abc",
+                                                     "\u30ab\u30ca"]),
+    ("\u30ab_a_\u30ab\u30fc", ["\u30ab_a_\u30ab\u30fc"]),
+    ("\u65e5\u3099\u672c \u304b\u304d", ["\u65e5\u3099", "\u672c", "\u304b", "\u304d"]),
+    ("\uff11\uff0e\uff15 \uff41\uff1a\uff42 3\uff0c4 a\uff0cb", [
+        "\uff11\uff0e\uff15", "\uff41\uff1a\uff42", "3\uff0c4", "a", "b"]),
+    ("\u05e6\u05d4\"\u05dc \u05d2' ab\"c d'", ["\u05e6\u05d4\"\u05dc", "\u05d2'", "ab",
+                                                 "c", "d"]),
+    ("a..b .c. 1.a 1,2.3 a_.b ___ 'x'", ["a", "b", "c", "1", "a", "1,2.3", "a_", "b", "___", "x"]),
+])
+def test_word_breaks(column, text, words):
+    assert column(case_tokens(F.lit(text))) == words
+
+
+@pytest.mark.parametrize("part", ["a.", "_a", "1,", "a.b_", "x", "\u05d0\""])
+@pytest.mark.parametrize("times", [90, 130, 300, 5000, 200_000])
+def test_words_of_many_parts_are_one(column, part, times):
+    """The matcher's stack stays bounded, and an over-long word holds one place."""
+    found = column(case_tokens(F.lit(f"so {part * times} on")))
+    assert len(found) == 3 and found[0] == "so" and found[2] == "on"
+    if len(part) * times <= 255:
+        assert found[1] == (part * times).rstrip('.,"')
+    if len(part) * times > 512:
+        assert len(found[1]) > 255
+
+
+def test_folded_postings_equal_those_of_lowered_tokens(column):
+    from corpuslens.functions.text import folded_postings, lowered, postings_of_doc
+    random.seed(4)
+    for size in (0, 1, 5, 300):
+        words = random.choices(["Foo", "foo", "FOO", "bar", "Bar", "\u0130x", "ix", "x" * 300],
+                               k=size)
+        tokens = F.array(*[F.lit(w) for w in words]).cast("array<string>")
+        assert column(folded_postings(postings_of_doc(tokens))) == (
+            column(postings_of_doc(lowered(tokens))))
