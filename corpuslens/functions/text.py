@@ -32,7 +32,7 @@ JOINER = (rf"(?=[{MID_BOTH}{MID_LETTER}{MID_NUMBER}\x{{22}}])"
 # be followed by a quote.
 MORE = (rf"(?:{JOINER}{ALNUM}|(?=_){ALNUM}|{EAST_ASIAN}(?<=_){KANA}){{0,{MAX_TOKEN + 1}}}"
         r"(?:\x{27}(?<=\p{IsHebrew}\x{27}))?")
-TOKEN = (rf"{ALNUM}{MORE}|{EAST_ASIAN}[{SINGLE}]\p{{M}}*+|{KANA}{MORE}"
+TOKEN = (rf"{ALNUM}(?:(?=\s)|{MORE})|{EAST_ASIAN}[{SINGLE}]\p{{M}}*+|{KANA}{MORE}"
          rf"|{JOINER}{ALNUM}{MORE}")
 JOINERS = re.sub(r"\\x\{(\w+)\}", lambda code: chr(int(code[1], 16)),
                  MID_BOTH + MID_LETTER + MID_NUMBER + r"\x{22}")
