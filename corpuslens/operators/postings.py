@@ -6,18 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpuslens.functions.grouping import PLAIN, sorted_postings
 from corpuslens.functions.scoring import length_norm, tf
-from corpuslens.functions.text import (
-    bind,
-    case_tokens,
-    folded_postings,
-    kept,
-    lowered,
-    postings_of_doc,
-)
+from corpuslens.functions.text import bind, case_tokens, kept, lowered
 from corpuslens.operators.bounded import hinted, settle
 from corpuslens.schema import FIELD, FIELD_CASE
 
+POSTINGS = ("field string, term string, doc_id bigint, tf int, positions array<int>, "
+            "doc_len int")
+
 
 def tokenised(docs: DataFrame) -> DataFrame:
     """``doc_id, tokens`` with the case kept; both fields share this one pass over the text."""
@@ -34,20 +31,18 @@ def token_rows(docs: DataFrame, field: str) -> DataFrame:
 def postings(docs: DataFrame) -> DataFrame:
     """``field, term, doc_id, tf, positions, doc_len``: one row per term of a document.
 
-    A map over documents, without a shuffle: each row's tokens are grouped inside the row, once;
-    the groups of the lower-case field are merged from those with the case kept. The document length rides along, so that scoring needs no join to fetch it.
+    A map over documents, without a shuffle, that groups a chunk of texts at a time
+    (``functions/grouping.py``) and hands its rows on in the order of field and term: a sort by
+    these has only the chunks' runs to merge. The document length rides along, so that scoring
+    needs no join to fetch it.
     """
-    fields = bind(postings_of_doc(F.col("tokens")), lambda groups: F.array(
-        F.struct(F.lit(FIELD).alias("field"), folded_postings(groups).alias("terms")),
-        F.struct(F.lit(FIELD_CASE).alias("field"), groups.alias("terms"))))
-    per_field = tokenised(docs).select(
-        "doc_id", F.size(F.filter("tokens", kept)).alias("doc_len"),
-        F.explode(fields).alias("entry"))
-    return (per_field
-            .select("doc_id", "doc_len", F.col("entry.field").alias("field"),
-                    F.inline("entry.terms"))
-            .select("field", "term", "doc_id", F.size("positions").alias("tf"),
-                    "positions", "doc_len"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), bind(
+        F.rlike(text, F.lit(rf"\A[{PLAIN}]*\z")), lambda plain: bind(
+            F.when(~plain, case_tokens(text)), lambda tokens: F.struct(
+                F.when(plain, text).alias("text"), tokens.alias("tokens"),
+                lowered(tokens).alias("small")))).alias("row"))
+    return rows.mapInArrow(sorted_postings, POSTINGS)
 
 
 def vocabulary(entries: DataFrame) -> DataFrame:

@@ -19,21 +19,22 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions.paths import document_id
 from corpuslens.operators.bounded import SMALL_ROWS
-from corpuslens.operators.postings import one_per_path, postings, vocabulary
+from corpuslens.operators.postings import POSTINGS, one_per_path, postings, vocabulary
 from corpuslens.operators.versions import chain, latest, publish, version_path
 
 DOCS = "doc_id bigint, path string, text string, mtime_us bigint"
-POSTINGS = ("field string, term string, doc_id bigint, tf int, positions array<int>, "
-            "doc_len int")
 VOCAB = "field string, term string, df bigint, cf bigint, top double"
 REMOVED = "doc_id bigint, layer int"
 SORTED_BY = {
     "docs": ("doc_id",),
     "postings": ("field", "term", "doc_id"),
 }
-# A bucket of so much text has about 1 GB of postings; below that, enough buckets to keep the
-# session's tasks busy, but none for less text than the second figure.
-TEXT_PER_BUCKET = 256 << 20
+# A bucket of so much text has about 3 million postings, 400 MB as rows, which a task sorts in
+# memory. Less text has enough buckets to keep the session's tasks busy, but none for less than the
+# last figure; more than the second figure's buckets are made only where one would outgrow the third.
+TEXT_PER_BUCKET = 16 << 20
+MANY_BUCKETS = 4096
+MOST_TEXT_PER_BUCKET = 256 << 20
 LEAST_TEXT_PER_BUCKET = 1 << 20
 
 
@@ -90,11 +91,8 @@ def as_documents(docs: DataFrame) -> DataFrame:
 
 
 def spread(docs: DataFrame) -> DataFrame:
-    """Documents hashed by id over the session's shuffle partitions.
-
-    Few large row groups would otherwise leave the tokenizer to few tasks. What is derived from
-    a document stays in its partition, so that a search needs no further shuffle of postings.
-    """
+    """Documents hashed by id over the session's shuffle partitions; few large row groups would
+    otherwise leave the tokenizer to few tasks."""
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return docs.repartition(tasks, "doc_id")
 
@@ -104,7 +102,7 @@ def build_index(docs: DataFrame) -> Index:
     newest counts."""
     documents = spread(as_documents(one_per_path(docs)))
     entries = postings(documents)
-    return Index(documents, (entries,), vocabulary(entries), co_located=True)
+    return Index(documents, (entries,), vocabulary(entries))
 
 
 def _table_name(location: str, buckets: int, part: str) -> str:
@@ -155,9 +153,11 @@ def write_layer(spark: SparkSession, root: str, version: int, buckets: int,
 
 
 def bucket_count(spark: SparkSession, size: int) -> int:
-    """Buckets for so many bytes of text."""
-    busy = min(spark.sparkContext.defaultParallelism, math.ceil(size / LEAST_TEXT_PER_BUCKET))
-    return max(1, busy, math.ceil(size / TEXT_PER_BUCKET))
+    """Buckets for so many bytes of text; whole rounds of tasks, as buckets are equal."""
+    tasks = spark.sparkContext.defaultParallelism
+    whole = tasks * max(1, math.ceil(size / TEXT_PER_BUCKET / tasks))
+    few = min(whole, max(tasks, MANY_BUCKETS), math.ceil(size / LEAST_TEXT_PER_BUCKET))
+    return max(1, few, math.ceil(size / MOST_TEXT_PER_BUCKET))
 
 
 def text_size(docs: DataFrame) -> int:

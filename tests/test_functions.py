@@ -264,3 +264,50 @@ def test_folded_postings_equal_those_of_lowered_tokens(column):
         tokens = F.array(*[F.lit(w) for w in words]).cast("array<string>")
         assert column(folded_postings(postings_of_doc(tokens))) == (
             column(postings_of_doc(lowered(tokens))))
+
+
+def test_grouping_by_chunks_equals_grouping_in_rows(spark, monkeypatch):
+    """Every plain character between letters, digits and blanks, other scripts, long words, chunks
+    of one document, rows without an id or text, and equal ids."""
+    from corpuslens.functions.text import case_tokens, folded_postings, kept, postings_of_doc
+
+    around = "a{0}b 1{0}2 a{0}1 1{0}B _{0}c {0}{0} x{0} Z_{0}9"
+    texts = [(code, around.format(chr(code)))
+             for code in [*range(0x600), *range(0x2000, 0x2100), *range(0x30F0, 0x3100), 0xFF07]]
+    texts += [(-1, None), (-2, ""), (None, "the The THE"), (None, "the"), (-3, "same"),
+              (-3, "SAME same"), (-4, "a." * 700 + " b " + "x" * 255 + " " + "y" * 256 + " c"),
+              (-5, "a." * 700 + " b " + "x" * 256 + " 中文 ΑΣ l’été")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    tokens = docs.select("doc_id", case_tokens(F.col("text")).alias("tokens"))
+    groups = postings_of_doc(F.col("tokens"))
+    length = F.size(F.filter("tokens", kept)).alias("doc_len")
+    expected = [tokens.select(F.lit(field).alias("field"), "doc_id", length,
+                              F.inline(terms)).select(
+        "field", "term", "doc_id", F.size("positions").alias("tf"), "positions", "doc_len")
+        for field, terms in (("content", folded_postings(groups)), ("content_case", groups))]
+    expected = sorted(map(str, expected[0].unionByName(expected[1]).collect()))
+    assert sorted(map(str, postings(docs).collect())) == expected
+    assert "MapInArrow" in postings(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunks_of_postings_come_in_the_order_of_the_index(monkeypatch):
+    import pyarrow as pa
+
+    from corpuslens.functions import grouping
+
+    def rows(chars):
+        monkeypatch.setattr(grouping, "CHUNK_CHARS", chars)
+        kind = pa.struct([("text", pa.string()), ("tokens", pa.list_(pa.string())),
+                          ("small", pa.list_(pa.string()))])
+        found = pa.array([{"text": "b a B"}, {"tokens": ["Ω", "b"], "small": ["ω", "b"]},
+                          {"text": "a a"}, {"text": ""}], kind)
+        batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, None]), found], ["doc_id", "row"])
+        return [[tuple(r.values()) for r in b.to_pylist()]
+                for b in grouping.sorted_postings([batch])]
+
+    whole = [r for part in rows(1 << 20) for r in part]
+    assert [r[:3] for r in whole] == sorted(r[:3] for r in whole)
+    assert ("content", "b", 1, 2, [0, 2], 3) in whole
+    assert ("content", "ω", 2, 1, [0], 2) in whole
+    parts = rows(4)
+    assert len(parts) > 2 and sorted(r for part in parts for r in part) == sorted(whole)

@@ -435,3 +435,13 @@ def test_named_documents_reach_the_reader(spark, monkeypatch, tmp_path):
         else:
             assert [r["doc_id"] for r in ranked_documents(
                 saved, _plain(spark, text, k=2)).orderBy("rank").collect()] == [7, 47]
+
+
+def test_buckets_are_small_enough_to_be_sorted_in_memory(spark):
+    from corpuslens.plans.index import bucket_count
+
+    tasks = spark.sparkContext.defaultParallelism
+    assert bucket_count(spark, 100) == 1
+    for size in (1 << 30, 12 << 30):
+        buckets = bucket_count(spark, size)
+        assert size / buckets <= 16 << 20 and buckets % tasks == 0
