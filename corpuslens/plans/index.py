@@ -145,13 +145,21 @@ def write_layer(spark: SparkSession, root: str, version: int, buckets: int,
                 docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Write documents and their postings; returns both tables as written."""
     ready = as_documents(docs).repartition(buckets, "doc_id")
-    saved = _write_bucketed(ready, version_path(root, version, "docs"), buckets, "docs")
+    location = version_path(root, version, "docs")
+    saved = _write_bucketed(ready, location, buckets, "docs")
     refuse_shared_ids(saved)
-    entries = _write_bucketed(postings(saved), version_path(root, version, "postings"),
-                              buckets, "postings")
+    entries = _write_bucketed(postings(texts_by_bucket(spark, location, buckets)),
+                              version_path(root, version, "postings"), buckets, "postings")
     return saved, entries
 
 
+def texts_by_bucket(spark: SparkSession, location: str, buckets: int) -> DataFrame:
+    """Stored documents, each bucket in a task of its own and in the order of the ids. A scan of
+    the table would pack many buckets into a task, which then sorts all of their postings."""
+    stored = spark.read.schema(DOCS).parquet(location).select("doc_id", "text")
+    return stored.repartition(buckets, "doc_id").sortWithinPartitions("doc_id")
+
+
 def bucket_count(spark: SparkSession, size: int) -> int:
     """Buckets for so many bytes of text; whole rounds of tasks, as buckets are equal."""
     tasks = spark.sparkContext.defaultParallelism

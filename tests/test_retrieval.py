@@ -445,3 +445,15 @@ def test_buckets_are_small_enough_to_be_sorted_in_memory(spark):
     for size in (1 << 30, 12 << 30):
         buckets = bucket_count(spark, size)
         assert size / buckets <= 16 << 20 and buckets % tasks == 0
+
+
+def test_each_bucket_is_sorted_by_a_task_of_its_own(spark, tmp_path):
+    from corpuslens.plans.index import texts_by_bucket
+
+    docs = _docs(spark, *[f"word {i}" for i in range(40)])
+    index = save_index(spark, docs, str(tmp_path / "index"), buckets=16)
+    parts = texts_by_bucket(spark, f"{tmp_path}/index/v=1/docs", 16).rdd.glom().collect()
+    ids = [[r["doc_id"] for r in part] for part in parts]
+    assert len(ids) == 16 and all(part == sorted(part) for part in ids)
+    assert sum(len(part) for part in ids) == index.n_docs == 40
+    assert sum(bool(part) for part in ids) > 8
