@@ -6,12 +6,12 @@ with ``f >= THRESHOLD`` are candidates. A cut after its first words gives l = f(
 r = f(rest) and ``floor(1000 a n / (l r))`` with a = f(phrase) and n words of the language; the
 lowest cut is the score. A candidate inside a longer one with the same f is dropped.
 
-**Counting.** Texts become arrays of word ids once, in blocks, dealt into ``SHARDS`` shards that are
-scanned in turn, again and again. Words are counted from the start. A phrase is counted from the
-scan after which both of its subphrases (without its last, and without its first word) have been
-seen ``THRESHOLD`` times, and for one full cycle: every shard once. So lengths are interleaved: the
-pairs of frequent words are counted while rarer words are still being counted, and longer phrases
-follow at once. As f never grows with length, every candidate's parts are counted too. The scans end
+**Counting.** Texts become arrays of words once, as places in a block's list of words, and the blocks
+are dealt into ``SHARDS`` shards that are scanned in turn, again and again. Words are counted from
+the start. A phrase is counted from the scan after which both of its subphrases (without its last,
+and without its first word) have been seen ``THRESHOLD`` times, and for one full cycle: every shard
+once. So lengths are interleaved: the pairs of frequent words are counted while rarer words are still
+being counted, and longer phrases follow at once. As f never grows with length, every candidate's parts are counted too. The scans end
 when nothing has reached the threshold for a whole cycle.
 
 **What moves.** A scan sends partial sums of the phrases that are being counted, and Spark adds them
@@ -43,6 +43,7 @@ import pyarrow as pa
 import xxhash
 from pyarrow import fs
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,6 +56,7 @@ LONGEST = 5
 TOP = 2000
 SHARDS = 4
 BLOCK_BYTES = 2_000_000
+HELD = 8
 MOST_SLOTS = 1 << 25
 NEVER = 255
 NO_LANGUAGE = "und"
@@ -63,7 +65,7 @@ UPPER = string.ascii_uppercase.encode()
 #: Each byte of a text: small letters, a line feed between pieces, a blank between words.
 BYTES = bytes(b + 32 if b in UPPER else 10 if b in MARKS else 32 if b == 9 else b
               for b in range(256))
-BLOCKS = "shard int, lang string, ids binary, sums binary, words binary"
+BLOCKS = "shard int, lang string, places binary, sums binary, words binary"
 COUNTS = "k byte, a long, b long, n long, start byte"
 # The constants of the 64-bit xxHash.
 P1, P2, P3, P4, P5 = (np.uint64(p) for p in (
@@ -111,26 +113,42 @@ def _keys(lang: str, words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) or 1 for w in words), np.uint64, len(words))
 
 
-def _block(lang: str, parts: list[bytes]) -> tuple[bytes, bytes, bytes]:
-    """Word ids in order (0 between pieces); how often each different word occurs, and the words."""
+def _places(words: int) -> str:
+    """The type of a word's place among so many, from 1; 0 stands between pieces."""
+    return "<u2" if words < 1 << 16 else "<u4"
+
+
+def _block(parts: list[bytes]) -> tuple[bytes, bytes, bytes]:
+    """Each word's place among the different ones (0 between pieces), how often each of these
+    occurs, and the words. Places take a fraction of the space of ids, which are hashes."""
     tokens = b"\n".join(parts).replace(b"\n", b" \n ").split(b" ")
     places: dict[bytes, int] = {b"": 0, b"\n": 1}
     for token in tokens:
         places.setdefault(token, len(places))
     at = np.fromiter(map(places.__getitem__, tokens), np.int64, len(tokens))
     words = list(places)[2:]
-    ids = np.concatenate([np.zeros(2, np.uint64), _keys(lang, words)])[at[at > 0]]
+    order = (at[at > 0] - 1).astype(_places(len(words)))
     sums = np.bincount(at, minlength=len(places))[2:]
-    return ids.astype("<u8").tobytes(), sums.astype("<i8").tobytes(), b"\n".join(words)
+    return order.tobytes(), sums.astype("<i8").tobytes(), b"\n".join(words)
+
+
+def _read(lang: str, places: bytes, sums: bytes, words: bytes) -> tuple[np.ndarray, ...]:
+    """A block's word ids in order (0 between pieces); the ids of its different words, and how
+    often each occurs."""
+    n = np.frombuffer(sums, "<i8")
+    keys = _keys(lang, words.split(b"\n") if len(n) else [])
+    order = np.frombuffer(places, _places(len(n)))
+    return np.concatenate([np.zeros(1, np.uint64), keys])[order], keys, n
 
 
 def word_blocks(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``BLOCKS`` of documents ``lang, text``, a folder for each shard."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, size = TaskContext.get().partitionId(), {}, 0
+        number, held, sizes = TaskContext.get().partitionId(), {}, {}
 
-        def flush() -> pa.RecordBatch:
-            made = [(number % shards, lang, *_block(lang, parts)) for lang, parts in held.items()]
+        def flush(langs: list[str]) -> pa.RecordBatch:
+            sizes.update(dict.fromkeys(langs, 0))
+            made = [(number % shards, lang, *_block(held.pop(lang))) for lang in langs]
             kinds = (pa.int32(), pa.string(), *[pa.binary()] * 3)
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*made), kinds)],
@@ -140,12 +158,14 @@ def word_blocks(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 for part in parts_of(text.as_py()):
                     held.setdefault(lang, []).append(part)
-                    size += len(part)
-                    if size >= BLOCK_BYTES:
-                        yield flush()
-                        number, held, size = number + 1, {}, 0
+                    sizes[lang] = sizes.get(lang, 0) + len(part)
+                    # One language fills a block, so that its words are listed once; many
+                    # languages share the space of a few.
+                    if sizes[lang] >= BLOCK_BYTES or sum(sizes.values()) >= HELD * BLOCK_BYTES:
+                        yield flush([lang] if sizes[lang] >= BLOCK_BYTES else list(held))
+                        number += 1
         if held:
-            yield flush()
+            yield flush(list(held))
 
     known = docs.select(F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), "text")
     return written(known.mapInArrow(rows, BLOCKS), "shard")
@@ -157,10 +177,9 @@ def _slots(tokens: int, threshold: int) -> int:
     return min(MOST_SLOTS, 1 << max(16, (4 * tokens // threshold).bit_length()))
 
 
-def _scan(blocks: DataFrame, scan: int, steps: list[np.ndarray], shards: int,
+def _scan(blocks: DataFrame, scan: int, shared: Broadcast, shards: int,
           longest: int) -> DataFrame:
     """``COUNTS`` of one shard: what is being counted in this scan, block by block."""
-    shared = blocks.sparkSession.sparkContext.broadcast(steps)
     words_too = scan <= shards
 
     def phrases(ids: np.ndarray, steps: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -188,12 +207,9 @@ def _scan(blocks: DataFrame, scan: int, steps: list[np.ndarray], shards: int,
         steps = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = np.frombuffer(batch.column(0)[i].as_py(), "<u8")
+                ids, keys, sums = _read(*(column[i].as_py() for column in batch.columns))
                 found = list(phrases(ids, steps))
                 if words_too:
-                    lang, sums, words = (batch.column(c)[i].as_py() for c in (1, 2, 3))
-                    sums = np.frombuffer(sums, "<i8")
-                    keys = _keys(lang, words.split(b"\n") if len(sums) else [])
                     zeros = np.zeros(len(keys), np.uint64)
                     found.append((zeros.astype(np.int8) + np.int8(1), keys, zeros, sums, zeros))
                 if found:
@@ -205,8 +221,7 @@ def _scan(blocks: DataFrame, scan: int, steps: list[np.ndarray], shards: int,
                         names=[c.split()[0] for c in COUNTS.split(", ")])
 
     shard = blocks.filter(F.col("shard") == (scan - 1) % shards)
-    read = ("ids", "lang", "sums", "words") if words_too else ("ids",)
-    return shard.select(*read).mapInArrow(rows, COUNTS)
+    return shard.select("lang", "places", "sums", "words").mapInArrow(rows, COUNTS)
 
 
 def _id(k: Column, a: Column, b: Column) -> Column:
@@ -240,12 +255,16 @@ def frequent_phrases(blocks: DataFrame, tokens: int, threshold: int = THRESHOLD,
     under_way, scan, last = None, 0, 0
     while scan < last + shards:
         scan += 1
-        found = _scan(blocks, scan, steps, shards, longest).withColumn("before", F.lit(0))
+        shared = spark.sparkContext.broadcast(steps)
+        found = _scan(blocks, scan, shared, shards, longest).withColumn("before", F.lit(0))
         if under_way is not None:
             found = found.unionByName(under_way.withColumn("before", F.col("n")))
         counts = _saved(found.groupBy("k", "a", "b").agg(
             F.sum("n").alias("n"), F.min("start").alias("start"),
             F.sum("before").alias("before")), f"{folder}/scan-{scan}")
+        # Each scan has tables of its own; without this their files stay on the driver and on all
+        # executors until the end. What was counted with them is written.
+        shared.destroy(blocking=True)
         for row in _reached(counts.filter((F.col("n") >= threshold)
                                           & (F.col("before") < threshold)), slots, longest):
             begin = (row["bucket"] - 1) << 15

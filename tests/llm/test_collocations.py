@@ -1,5 +1,6 @@
 """Phrase collocations: against brute force, the schedule of counting, odd rows."""
 
+import os
 import random
 import re
 from collections import Counter
@@ -123,3 +124,39 @@ def test_one_long_text_with_one_phrase(spark):
     f, n = occurrences(docs)
     rows = found(spark, docs, 100)
     assert rows == brute(docs, 100) and {r[6] for r in rows} == {120_000} == set(n.values())
+
+
+def test_blocks_hold_places_that_read_back_as_ids():
+    parts = [b"b a  b\nc a", b"\n", b"", b"d b"]
+    places, sums, words = co._block(parts)
+    ids, keys, n = co._read("en", places, sums, words)
+    known = dict(zip(words.split(b"\n"), keys.tolist()))
+    want = [known.get(w, 0) for w in b"\n".join(parts).replace(b"\n", b" \n ").split()]
+    lines = [[known[w] for w in line.split()] for line in b"\n".join(parts).split(b"\n")]
+    assert [i for i in ids.tolist() if i] == want == [i for line in lines for i in line]
+    assert np.flatnonzero(ids == 0).tolist() == [3, 6, 7, 8, 9][:5] and len(ids) * 2 == len(places)
+    assert dict(zip(known, n.tolist())) == {b"b": 3, b"a": 2, b"c": 1, b"d": 1}
+    many = b" ".join(b"w%d" % i for i in range(70_000))
+    ids, keys, n = co._read("en", *co._block([many]))
+    assert ids.tolist() == keys.tolist() == co._keys("en", many.split(b" ")).tolist()
+    assert co._read("en", *co._block([b"\n"]))[0].tolist() == [0]
+
+
+def test_tables_sent_to_tasks_go_with_their_scan(spark, monkeypatch):
+    """Each scan sends tables of its own; their files must not pile up until the end."""
+    made = []
+    scan = co._scan
+    monkeypatch.setattr(co, "_scan", lambda blocks, at, shared, *more: (
+        made.append(shared), scan(blocks, at, shared, *more))[1])
+    docs = corpus(200, 7)
+    assert found(spark, docs, 8) == brute(docs, 8)
+    assert len(made) > 4 and all(shared._jbroadcast is not None for shared in made)
+    assert not any(os.path.exists(shared._path) for shared in made)
+
+
+@pytest.mark.parametrize("held", [1, 8])
+def test_many_languages_share_the_space_of_blocks(spark, monkeypatch, held):
+    monkeypatch.setattr(co, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(co, "HELD", held)
+    docs = [(f"l{i % 30}", text) for i, (_, text) in enumerate(corpus(300, 5))]
+    assert found(spark, docs, 8) == brute(docs, 8)
