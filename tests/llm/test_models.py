@@ -1,6 +1,7 @@
 """Classifiers (held-out accuracy), vectors (brute force), components, the pipeline."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -185,6 +186,17 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_guessed_sizes_stay_short_over_many_rounds(spark):
+    rng = random.Random(8)
+    order = rng.sample(range(300), 300)
+    links = list(zip(order, order[1:]))  # a long chain takes several rounds and doublings
+    found = components(spark.createDataFrame(links, "a long, b long"))
+    guess = found._jdf.queryExecution().optimizedPlan().stats().simpleString()
+    exponent = re.search(r"E\+(\d+)", guess)
+    assert exponent is None or int(exponent[1]) < 200, guess
+    assert {r["component"] for r in found.collect()} == {0}
+
+
 def test_pipeline_stages(spark, docs):
     odd = spark.createDataFrame(ODD, NO_DOCS).select(docs.columns)
     for start in (docs.limit(150).unionByName(odd), docs.limit(0)):

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpuslens.llm import chat, decontaminate, jaccard, licences, lm, packing
+from corpuslens.llm import chat, components, decontaminate, jaccard, licences, lm, packing
 from corpuslens.llm.licence_texts import LICENCES
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -231,6 +231,21 @@ def test_jaccard_of_rows_without_ids_and_ids_with_two_texts(spark):
     assert set(found) == {None, 1, 2, 3}
 
 
+def test_jaccard_broadcasts_no_table(spark, monkeypatch):
+    plans = []
+    for module in (jaccard, components):
+        def kept(df, of=module.unsized):
+            out = of(df)
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return out
+        monkeypatch.setattr(module, "unsized", kept)
+    found = jaccard.near_duplicates(spark.createDataFrame(list(family_texts().items()), DOCS))
+    found.collect()
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert sum("Join" in p for p in plans) > 5
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_jaccard_of_an_empty_table(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
