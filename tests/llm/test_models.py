@@ -197,6 +197,17 @@ def test_guessed_sizes_stay_short_over_many_rounds(spark):
     assert {r["component"] for r in found.collect()} == {0}
 
 
+def test_rows_that_go_stay_with_the_executors(spark, monkeypatch):
+    docs = spark.range(40).selectExpr("id % 30 doc_id", "cast(id as string) text")
+    monkeypatch.setattr(type(docs), "toArrow", None)
+    for most in (200_000, 3):
+        monkeypatch.setattr(corpus_pipeline, "SMALL_ROWS", most)
+        left = corpus_pipeline._without(docs, spark.range(10, 20).toDF("doc_id"),
+                                        {"doc_id": F.col("doc_id")})
+        assert sorted(r["doc_id"] for r in left.collect()) == sorted(
+            i % 30 for i in range(40) if not 10 <= i % 30 < 20)
+
+
 def test_pipeline_stages(spark, docs):
     odd = spark.createDataFrame(ODD, NO_DOCS).select(docs.columns)
     for start in (docs.limit(150).unionByName(odd), docs.limit(0)):
